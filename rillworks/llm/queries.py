@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillworks.llm import line_dedup, packing, simhash, warc
-from rillworks.llm.common import scratch_path
+from rillworks.llm import line_dedup, packing, quality, simhash, toxicity, warc
+from rillworks.llm.common import fold, scratch_path
 
 
 def tokenizer_path(name: str) -> str:
@@ -34,6 +34,23 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, path)
 
 
+def _scores(scored: DataFrame, folds: int, held_fold: int) -> DataFrame:
+    held = F.coalesce(fold(F.col("row.doc_id"), folds) == held_fold, F.lit(False))
+    return scored.select(F.col("row.doc_id").alias("doc_id"), held.alias("held_out"), "score", "predicted")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return _scores(quality.score(docs, model), quality.FOLDS, 0)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _scores(toxicity.score(docs, model), toxicity.FOLDS, toxicity.HELD_FOLD)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_components(table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0"))
@@ -47,7 +64,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
+    "op3_quality": op3_quality,
     "op7_simhash": op7_simhash,
+    "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
 }
 
