@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillworks.llm import line_dedup, packing, quality, simhash, toxicity, warc
+from rillworks.llm import ann, line_dedup, packing, quality, simhash, toxicity, warc
 from rillworks.llm.common import fold, scratch_path
 
 
@@ -51,6 +51,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(toxicity.score(docs, model), toxicity.FOLDS, toxicity.HELD_FOLD)
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_components(table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0"))
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
     "op3_quality": op3_quality,
+    "op4_neighbours": op4_neighbours,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
