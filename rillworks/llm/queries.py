@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillworks.llm import ann, line_dedup, packing, quality, simhash, toxicity, warc
+from rillworks.llm import ann, line_dedup, packing, quality, simhash, syncmers, toxicity, warc
 from rillworks.llm.common import fold, scratch_path
 
 
@@ -55,6 +55,10 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_components(table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0"))
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_quality": op3_quality,
     "op4_neighbours": op4_neighbours,
+    "op6_syncmers": op6_syncmers,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
