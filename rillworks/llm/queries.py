@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillworks.llm import ann, line_dedup, packing, quality, simhash, syncmers, toxicity, warc
+from rillworks.llm import ann, line_dedup, packing, pii, quality, simhash, syncmers, toxicity, warc
 from rillworks.llm.common import fold, scratch_path
 
 
@@ -69,6 +68,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymize(table(spark, sf_dir, "documents"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), F.col("new_text").alias("text"), "n_replaced", "kinds")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
+    "op10_pii": op10_pii,
 }
 
 _SPACE = r"chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
