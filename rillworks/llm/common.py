@@ -52,6 +52,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Spark 4.1 takes a union of inputs partitioned alike for partitioned alike itself, but a columnar
+    union lays their partitions side by side, and a key of two inputs stays two rows."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only.  `lower` equals it on pure ASCII, where it is far cheaper."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(

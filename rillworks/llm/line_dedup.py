@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillworks.llm.common import ASCII_SPACE, ascii_lower, file_batches, remove_path, scratch_path
+from rillworks.llm.common import ASCII_SPACE, ascii_lower, file_batches, plain_unions, remove_path, scratch_path
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -61,6 +61,7 @@ class LineRuns:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[tuple[str, str]]] = []
         self._made = 0
+        plain_unions(spark)
 
     def _write(self, rows: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
