@@ -31,7 +31,7 @@ from rillworks.llm.common import materialize
 
 K = 20
 EVERY = 20
-PROJECTIONS = 96
+PROJECTIONS = 80
 #: Collisions a candidate needs, as a share of the projections.
 COLLISIONS = 0.78
 #: Distinct vectors of a block that must reach it, as a share, beyond k.
@@ -62,6 +62,8 @@ class Block:
     """The sorted arrays of one block and their search."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, top: float, count: int = PROJECTIONS):
+        if count > 255:
+            raise ValueError("collisions are counted in 8 bits: at most 255 projections")
         order = np.lexsort(ids[None, :])
         ids, vectors = ids[order], vectors[order]
         self.vectors, self.owner = np.unique(vectors, axis=0, return_inverse=True)
@@ -75,28 +77,36 @@ class Block:
         self.sorted = np.take_along_axis(values, place, axis=1)
         self.place = np.empty(place.shape, dtype=np.uint16)
         np.put_along_axis(self.place, place, np.arange(place.shape[1], dtype=np.uint16)[None, :], axis=1)
-        self.scale, self.top = float(values.std()) or 1.0, top
+        self.top = top
+        self.width = WIDTH * (float(values.std()) or 1.0)
 
-    def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Distinct vectors with enough collisions, after as many widenings as it takes."""
+    def candidates(self, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(query, its distinct vectors with enough collisions), in the order of the widening that ends each."""
         n, m = len(self.vectors), len(self.axes)
         want, need = min(n, int(np.ceil(VERIFY * n)) + k + 1), int(np.ceil(COLLISIONS * m))
         if want >= n:
-            return np.arange(n)
-        centre, width = self.axes[:, :-1] @ (query * (self.top / np.linalg.norm(query))), WIDTH * self.scale
-        while True:
-            low = np.fromiter(map(np.searchsorted, self.sorted, centre - width), np.int64, m)
-            high = np.fromiter((np.searchsorted(s, c, "right") for s, c in zip(self.sorted, centre + width)), np.int64, m)
-            # one comparison says "low <= place < high": below low the difference wraps around
-            inside = (self.place - low.astype(np.uint16)[:, None]) < (high - low).astype(np.uint16)[:, None]
-            found = np.flatnonzero(inside.sum(axis=0, dtype=np.uint16) >= need)
-            if len(found) >= want or (low.max() == 0 and high.min() == n):
-                return found
-            width *= GROWTH
-
-    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k nearest of this block."""
-        found = self.candidates(query, k)
+            yield from ((q, np.arange(n)) for q in range(len(queries)))
+            return
+        centres = (queries * (self.top / np.linalg.norm(queries, axis=1, keepdims=True))) @ self.axes[:, :-1].T
+        left, width = np.arange(len(queries)), self.width
+        gap, inside = np.empty_like(self.place), np.empty(self.place.shape, dtype=bool)
+        while len(left):
+            edges = lambda at, side: np.array([np.searchsorted(s, c, side) for s, c in zip(self.sorted, at.T)])
+            low, high = edges(centres[left] - width, "left"), edges(centres[left] + width, "right")
+            ended = np.zeros(len(left), dtype=bool)
+            for i, q in enumerate(left.tolist()):
+                # one comparison says "low <= place < high": below low the difference wraps around
+                np.subtract(self.place, low[:, i, None].astype(np.uint16), out=gap)
+                np.less(gap, (high[:, i, None] - low[:, i, None]).astype(np.uint16), out=inside)
+                enough = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8) >= need
+                whole = low[:, i].max() == 0 and high[:, i].min() == n
+                if whole or np.count_nonzero(enough) >= want:
+                    ended[i] = True
+                    yield q, np.flatnonzero(enough)
+            left, width = left[~ended], width * GROWTH
+
+    def best(self, query_id: int, query: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k nearest among the candidates, by exact inner products."""
         scores = self.vectors[found] @ query
         if len(found) > k + 1:  # the query's own vector may be among them
             keep = scores >= np.partition(scores, -(k + 1))[-(k + 1)]
@@ -105,8 +115,8 @@ class Block:
         spans = [s[s != query_id][:k] for s in spans]
         ids = np.concatenate(spans) if spans else np.zeros(0, dtype=np.int64)
         values = np.repeat(scores, [len(s) for s in spans])
-        best = np.lexsort((ids, -values))[:k]
-        return ids[best], values[best]
+        first = np.lexsort((ids, -values))[:k]
+        return ids[first], values[first]
 
 
 def build_index(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int, float]:
@@ -144,10 +154,11 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
             for at in range(batch.num_rows):
                 ids, query_ids = flat(batch.column(0), at), flat(batch.column(2), at)
                 block = Block(ids, flat(batch.column(1), at).reshape(len(ids), -1), top)
+                asked_for = flat(batch.column(3), at).reshape(len(query_ids), -1)
                 out = []
-                for query_id, query in zip(query_ids.tolist(), flat(batch.column(3), at).reshape(len(query_ids), -1)):
-                    found, scores = block.search(query_id, query, k)
-                    out.append((np.full(len(found), query_id), found, scores))
+                for q, found in block.candidates(asked_for, k):
+                    near, scores = block.best(int(query_ids[q]), asked_for[q], found, k)
+                    out.append((np.full(len(near), query_ids[q]), near, scores))
                 columns = [np.concatenate(c) for c in zip(*out)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
