@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillworks.llm import ann, line_dedup, packing, pii, quality, simhash, syncmers, toxicity, warc
+from rillworks.llm import ann, line_dedup, packing, pii, quality, simhash, spm, syncmers, toxicity, warc
 from rillworks.llm.common import fold, scratch_path
 
 
@@ -54,6 +54,13 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document, and the digest of what they decode to."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    both = spm.decode(spm.encode(table(spark, sf_dir, "documents"), path), path)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_pairs(table(spark, sf_dir, "documents"))
 
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_quality": op3_quality,
     "op4_neighbours": op4_neighbours,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_syncmers": op6_syncmers,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
