@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillworks.llm.common import materialize, small_batches
 from rillworks.llm.graph import Forest, components
@@ -85,14 +86,20 @@ def simhash(text: str | None, shingle: int = SHINGLE, words: int = 1) -> np.ndar
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1) -> DataFrame:
     """(doc_id, fp): fp is an array of `words` longs."""
+    return _fingerprinted(docs.select("doc_id", "text"), shingle, words).select("row.doc_id", "fp")
+
+
+def _fingerprinted(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """(row, fp): row holds the columns of `docs`, of which the texts don't come back unless they are asked for."""
     small_batches(docs.sparkSession)
+    packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text" or len(docs.columns) > 2]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [simhash(text, shingle, words).view(np.int64).tolist() for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "fp"])
+            fps = [simhash(text, shingle, words).view(np.int64).tolist() for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(fps, pa.list_(pa.int64()))], ["row", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp array<long>")
+    return packed.mapInArrow(run, T.StructType([packed.schema["row"], T.StructField("fp", T.ArrayType(T.LongType()))]))
 
 
 def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, wide_radius: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -187,24 +194,29 @@ def near_links(fps: DataFrame, radius: int = RADIUS, wide_radius: int | None = N
 
 
 def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, words: int = 1, wide_radius: int | None = None, tile: int = TILE) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: the smallest doc_id reachable over links."""
+    """(doc_id, fp, component_id, root) for every row: the smallest doc_id reachable over links; root tells components apart."""
     rows = materialize(fingerprints(docs, shingle, words), "fingerprints")
     node = F.col("fp")[0] if words == 1 else F.xxhash64("fp")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", node), "distinct")
     found = components(near_links(distinct, radius, wide_radius, tile), "u", "v")
     rooted = distinct.join(found, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(names, "root").select("fp", "component_id", "root")
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` without near duplicates: of each component the row with the smallest doc_id.
 
-    Rows that share that doc_id are told apart by their text; of wholly repeated
-    rows one stays.  Rows with a null doc_id stay only if their component has no other.
+    Of rows that share that doc_id one stays.  Rows with a null doc_id stay only
+    where no row of their component has an id, and then one of them does.
     """
-    rows = near_components(docs, STAGE_SHINGLE, STAGE_RADIUS, STAGE_WORDS, STAGE_WIDE_RADIUS)
-    keep = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    rows = materialize(near_components(docs, STAGE_SHINGLE, STAGE_RADIUS, STAGE_WORDS, STAGE_WIDE_RADIUS), "components")
+    keep = rows.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    # one exchange of the texts by doc_id serves the join and the removal of repeated ids
+    named = docs.join(keep.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    unnamed = rows.where("component_id is null").select("fp", "root").distinct()
+    if not unnamed.limit(1).collect():
+        return named
+    lone = _fingerprinted(docs.where("doc_id is null"), STAGE_SHINGLE, STAGE_WORDS).join(unnamed, "fp").dropDuplicates(["root"])
+    return named.union(lone.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))

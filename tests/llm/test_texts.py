@@ -100,6 +100,9 @@ def test_keep_one_drops_near_copies_only(spark):
     kept = simhash.keep_one(docs_of(spark, texts))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
+    ids = [*range(30), *[None] * 35]  # the last ten of the base, the near copies and the copies have no id
+    kept = simhash.keep_one(docs_of(spark, texts, ids)).collect()
+    assert len(kept) == 40 and {r.text for r in kept} == set(texts[:40])
 
 
 def labelled(spark, n=600):
