@@ -9,12 +9,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillworks.session import let_workers_import
+
 #: The ASCII white space that separates words and surrounds lines.
 ASCII_SPACE = "\t\n\x0b\x0c\r "
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Rows of an Arrow batch handed to Python; texts may be long.
+#: Rows and bytes of an Arrow batch handed to Python; texts may be long.
 ARROW_ROWS = 500
+ARROW_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,17 +42,24 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back: lineage ends at files every executor can reach."""
+    return materialize_at(df, name)[0]
+
+
+def materialize_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As `materialize`, with the path, for tables that can be removed before the job ends."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that long texts don't fill a Python worker."""
+    """Before Python runs: bound the rows of an Arrow batch, so that long texts don't fill a worker."""
+    let_workers_import(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def plain_unions(spark: SparkSession) -> None:

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillworks.llm.common import materialize, plain_unions
+from rillworks.llm.common import materialize_at, plain_unions, remove_path
 
 
 def _edges(df: DataFrame, a, b) -> DataFrame:
@@ -30,13 +30,15 @@ def _round(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node with an edge that isn't the least of its component; root is the least."""
-    plain_unions(edges.sparkSession)
-    edges = materialize(_edges(edges, F.col(a), F.col(b)).distinct(), "edges")
+    spark = edges.sparkSession
+    plain_unions(spark)
+    edges, path = materialize_at(_edges(edges, F.col(a), F.col(b)).distinct(), "edges")
     stamp = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     last = stamp(edges)
     while last[0]:
-        edges = materialize(_round(edges), "stars")
-        now = stamp(edges)
+        edges, new_path = materialize_at(_round(edges), "stars")
+        remove_path(spark, path)
+        now, path = stamp(edges), new_path
         if now == last:
             break
         last = now
