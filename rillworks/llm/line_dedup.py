@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillworks.llm.common import ASCII_SPACE, ascii_lower, file_batches, plain_unions, remove_path, scratch_path
+from rillworks.llm.common import ASCII_SPACE, ascii_lower, file_batches, materialize, plain_unions, remove_path, scratch_path
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -147,7 +147,8 @@ def dedup_lines(
     runs = LineRuns(spark, fanout)
     for batch in file_batches(docs, batches):
         runs.add(summarize(batch, min_chars))
-    heavy = runs.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc")
+    # written, so that the join below reads plain exchanges on both sides, of which AQE can split a hot line's
+    heavy = materialize(runs.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"), "heavy-lines")
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.select("row", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("text_hash"))
