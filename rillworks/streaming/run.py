@@ -34,19 +34,22 @@ def available_now(df: DataFrame, mode: str | None = None) -> DataFrame:
     """Run a live frame over all input there is, and return the answer as a table.
 
     An aggregation runs in complete mode: only the totals after the last
-    micro-batch count, as at the end of a stream.  Other frames append.
+    micro-batch count, as at the end of a stream.  Other frames append.  Either
+    way the answer is files in the checkpoint folder; none of it passes the driver.
     """
-    spark, name = df.sparkSession, f"rillworks_{uuid.uuid4().hex}"
-    query = (
-        df.writeStream.format("memory")
-        .queryName(name)
-        .outputMode(mode or ("complete" if _aggregates(df) else "append"))
-        .option("checkpointLocation", checkpoint_path(spark))
-        .trigger(availableNow=True)
-        .start()
-    )
+    spark, path = df.sparkSession, checkpoint_path(df.sparkSession)
+    mode = mode or ("complete" if _aggregates(df) else "append")
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/check").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").start(f"{path}/out")
+    else:
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out")).start()
     query.awaitTermination()
-    return spark.table(name)
+    jvm = spark.sparkContext._jvm
+    out = jvm.org.apache.hadoop.fs.Path(f"{path}/out")
+    if not out.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(out):  # no micro-batch ran
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
 def write_stream(df: DataFrame, path: str, format: str = "parquet", mode: str = "append") -> None:
