@@ -41,13 +41,14 @@ from pyspark.sql import functions as F
 from rillworks.llm.common import materialize, small_batches
 
 MARK = "▁"
-MOST = 100_000
+MOST = 50_000
 #: Words up to this length may go through the relation.
 WORD_CHARS = 48
 #: Words a worker remembers beside the broadcast ones; speed only.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 350_000
 NORMAL, BYTE = 1, 6
 _KEY = 1024
+_NEVER = float("inf")
 
 
 @dataclass(frozen=True)
@@ -78,6 +79,11 @@ class Pieces:
     def table(self) -> dict[str, tuple[int, float]]:
         return {piece: (i, score) for piece, i, score in self.rows}
 
+    @cached_property
+    def ranks(self) -> dict[str, float]:
+        """Piece -> its score's opposite: the least merges first."""
+        return {piece: -score for piece, _, score in self.rows}
+
     @cached_property
     def longest(self) -> int:
         return max(len(piece) for piece, _, _ in self.rows)
@@ -186,20 +192,23 @@ _SPLIT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 def fold_word(word: str, pieces: Pieces) -> list[int]:
     """The ids of one word by the merge fold."""
-    table = pieces.table
-    parts = list(word)
+    ranks, parts = pieces.ranks, list(word)
     if len(parts) <= WORD_CHARS:
-        while len(parts) > 1:
-            found = [(-edge[1], i) for i in range(len(parts) - 1) if (edge := table.get(parts[i] + parts[i + 1]))]
-            if not found:
-                break
-            _, i = min(found)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        get = ranks.get
+        unions = [get(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
+        while unions and (best := min(unions)) != _NEVER:
+            i = unions.index(best)  # the leftmost of the best
+            parts[i] += parts.pop(i + 1)
+            del unions[i]
+            if i < len(unions):
+                unions[i] = get(parts[i] + parts[i + 1], _NEVER)
+            if i:
+                unions[i - 1] = get(parts[i - 1] + parts[i], _NEVER)
     else:
-        parts = _fold_long(parts, table)
+        parts = _fold_long(parts, pieces.table)
     out: list[int] = []
     for part in parts:
-        edge = table.get(part)
+        edge = pieces.table.get(part)
         out += [edge[0]] if edge else [pieces.first_byte + b for b in part.encode("utf-8", "replace")]
     return out
 
@@ -233,16 +242,14 @@ def _fold_long(parts: list[str], table: dict[str, tuple[int, float]]) -> list[st
 
 class _Words(dict):
     def __init__(self, known: dict[str, bytes], pieces: Pieces):
-        super().__init__()
+        super().__init__(known)
         self.known, self.pieces = known, pieces
 
     def __missing__(self, word: str) -> bytes:
-        raw = self.known.get(word)
-        if raw is None:
-            raw = _pack(fold_word(word, self.pieces))
-            if len(self) > CACHED_WORDS:
-                self.clear()
-            self[word] = raw
+        if len(self) > CACHED_WORDS + len(self.known):
+            self.clear()
+            self.update(self.known)
+        raw = self[word] = _pack(fold_word(word, self.pieces))
         return raw
 
 
@@ -251,10 +258,23 @@ def _pack(ids: list[int]) -> bytes:
 
 
 def frequent_words(docs: DataFrame, pieces: Pieces, most: int = MOST) -> DataFrame:
-    """(word, ids) of the corpus's most frequent words, counted over all texts."""
-    words = docs.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").count()
-    top = words.where((F.length("word") <= WORD_CHARS) & (F.col("count") > 1)).orderBy(F.desc("count"), "word").limit(most)
-    return materialize(encode_words(materialize(top.select("word"), "words"), pieces, "merge"), "word-ids")
+    """(word, ids) of frequent words, at most `most`: all whose count, over all texts, reaches a threshold.
+
+    Words after a single blank are counted; those beside a line break are met later.
+    The threshold comes from a histogram of the counts in eighths of a power of two.
+    """
+    parts = F.filter(F.split("text", " "), lambda part: (F.length(part) > 0) & (F.length(part) < WORD_CHARS) & ~F.contains(part, F.lit("\n")))
+    counted = docs.select(F.explode(parts).alias("part")).groupBy("part").count().where("count > 1")
+    words = materialize(counted.select(F.concat(F.lit(MARK), "part").alias("word"), F.floor(F.log2("count") * 8).alias("level")), "words")
+    levels = words.groupBy("level").count().orderBy(F.desc("level")).collect()  # some hundreds at most
+    room, least = most, None
+    for row in levels:
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["level"]
+    top = words.where(F.lit(False) if least is None else F.col("level") >= least).select("word")
+    return materialize(encode_words(top, pieces, "merge"), "word-ids")
 
 
 def encode(docs: DataFrame, model_path: str, most: int = MOST) -> DataFrame:
@@ -304,7 +324,9 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.__getitem__
         for batch in batches:
-            texts = [b"".join(map(get, ids or ())).decode("utf-8", "replace")[1:] for ids in batch.column(1).to_pylist()]
+            column = batch.column(1)
+            flat, edges = column.values.to_numpy(zero_copy_only=False).tolist(), column.offsets.tolist()
+            texts = [b"".join(map(get, flat[i:j])).decode("utf-8", "replace")[1:] for i, j in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
