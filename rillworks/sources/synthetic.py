@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The regions of the zonal pipelines (name, lat_min, lat_max, lon_min, lon_max).
+#: The regions of the zonal pipelines: name, lat_min, lat_max, lon_min, lon_max.
 REGIONS = [
     ("north", 40.0, 60.0, 0.0, 120.0),
     ("tropics-west", -15.0, 15.0, 0.0, 90.0),

@@ -179,3 +179,19 @@ def test_ieee_division(spark):
     s = make(spark, a=[1.0, -1.0, 0.0, None, 6.0], b=[0.0, 0.0, 0.0, 1.0, 3.0]).with_column("q", ieee_div(F.col("a"), F.col("b")))
     got = [r["q"] for r in rows(s)]
     assert got[0] == math.inf and got[1] == -math.inf and math.isnan(got[2]) and got[3] is None and got[4] == 2
+
+
+def test_rebalance_and_write(spark, tmp_path):
+    s = make(spark, k=["a", "b", "a"], v=[1, 2, 3])
+    assert len(rows(s.rebalance())) == 3 and s.rebalance(2).df.rdd.getNumPartitions() == 2
+    s.write(str(tmp_path / "out"), partition_by=["k"])
+    back = source(str(tmp_path / "out"), spark)
+    assert multiset(rows(back.select("k", "v"))) == multiset(rows(s))
+    s.write(str(tmp_path / "csv"), format="csv", header=True)
+    again = source(str(tmp_path / "csv"), spark, format="csv", header=True, inferSchema=True)
+    assert sum(r["v"] for r in rows(again)) == 6
+
+
+def test_steps_are_kept(spark):
+    s = make(spark, k=["a"], v=[1]).filter(F.col("v") > 0).count_by("k")
+    assert s.lineage() == ("source", "filter", "count_by k")
