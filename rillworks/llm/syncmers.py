@@ -27,6 +27,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,8 +135,8 @@ def edited(text: str, following: str) -> str:
 def ordered_pairs(docs: DataFrame, parts_per_task: int = 4) -> DataFrame:
     """The rows dealt to ranges of descending doc_id; each range ends with a copy of the row that follows it.
 
-    Columns: part, sentinel (true: the copy), doc_id, text; to be sorted within parts.
-    One shuffle of the texts; the ranges come from a pass over the ids alone.
+    Columns: part, sentinel (true: the copy), doc_id, text (pressed), sorted within parts.  One shuffle of
+    the pressed texts; the ranges come from a pass over the ids alone.
     """
     spark = docs.sparkSession
     low = -(1 << 63)
@@ -145,32 +147,33 @@ def ordered_pairs(docs: DataFrame, parts_per_task: int = 4) -> DataFrame:
     cuts = ids.agg(F.percentile_approx("k", [i / wanted for i in range(1, wanted)], 100 * wanted).alias("c")).first().c or []
     bounds = np.array(sorted(set(cuts)), dtype=np.int64)
 
-    @F.pandas_udf("int")
-    def part_of(k: pd.Series) -> pd.Series:
-        return pd.Series((len(bounds) - np.searchsorted(bounds, k.to_numpy(), "left")).astype(np.int32))
+    def part_of(k: np.ndarray) -> np.ndarray:
+        return (len(bounds) - np.searchsorted(bounds, k, "left")).astype(np.int32)
 
+    part = F.pandas_udf(lambda k: pd.Series(part_of(k.to_numpy())), "int")
     # per range its first (largest) id: as many rows as ranges
-    heads = {r.part: r.head for r in ids.groupBy(part_of("k").alias("part")).agg(F.max("k").alias("head")).collect()}
+    heads = {r.part: r.head for r in ids.groupBy(part("k").alias("part")).agg(F.max("k").alias("head")).collect()}
     order = sorted(heads)
-    before = {heads[part]: order[i - 1] for i, part in enumerate(order)}
-    head_ids, head_parts = np.array(sorted(before), dtype=np.int64), np.array([before[h] for h in sorted(before)], dtype=np.int32)
-
-    def copies(k: pd.Series) -> pd.Series:
-        at = np.searchsorted(head_ids, k.to_numpy())
-        at = np.minimum(at, max(0, len(head_ids) - 1))
-        return pd.Series([[int(head_parts[i])] if len(head_ids) and head_ids[i] == v else [] for i, v in zip(at, k)])
-
-    copies = F.pandas_udf(copies, "array<int>")
-    own = F.array(F.struct(part_of("k").alias("part"), F.lit(False).alias("sentinel")))
-    more = F.transform(copies("k"), lambda p: F.struct(p.alias("part"), F.lit(True).alias("sentinel")))
-    rows = docs.select(key.alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("k", "doc_id", "text", own.alias("own"), more.alias("more"))
-    rows = rows.select("k", "doc_id", "text", F.explode(F.concat("own", "more")).alias("to"))
-    return (
-        rows.select("to.part", "to.sentinel", "k", "doc_id", "text")
-        .repartition(tasks, "part")
-        .sortWithinPartitions("part", "sentinel", F.desc("k"), F.xxhash64("text"))
-    )
+    before = {heads[at]: order[i - 1] for i, at in enumerate(order)}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            keys = np.array([low if i is None else i for i in batch.column(0).to_pylist()], dtype=np.int64)
+            rows = []
+            for at, k, doc_id, text in zip(part_of(keys).tolist(), keys.tolist(), batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw = (text or "").encode()
+                tie, blob = xxhash.xxh64_intdigest(raw) >> 1, press(raw)
+                rows.append((at, False, k, tie, doc_id, blob))
+                if k in before:
+                    rows.append((before[k], True, k, tie, doc_id, blob))
+            types = (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            columns = list(zip(*rows)) or [()] * len(types)
+            names = ["part", "sentinel", "k", "tie", "doc_id", "text"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    rows = docs.select("doc_id", "text").mapInArrow(deal, "part int, sentinel boolean, k long, tie long, doc_id long, text binary")
+    return rows.repartition(tasks, "part").sortWithinPartitions("part", "sentinel", F.desc("k"), "tie")
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
@@ -187,9 +190,11 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
             digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
             return doc_id, len(own_text), digest, render(own), render(changed_fp), likeness(own, changed_fp), likeness(own, fp)
 
+        unpress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for part, sentinel, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for part, sentinel, doc_id, blob in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                text = unpress(blob).decode()
                 fp = syncmers(text)
                 if waiting is not None and waiting[0] == part:
                     out.append(row(waiting, text, fp))
