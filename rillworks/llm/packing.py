@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import itertools
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,60 +46,54 @@ PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\s\x85\xa0{LETTER}{
 PLAIN = r"[\t\n\r\x20-\x7e\xa1-\xff]*"
 
 
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: printable Latin-1 as it is, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
 class _Words(dict):
-    """Word -> its ids as little-endian 16-bit bytes."""
+    """Word -> its ids as little-endian 16-bit bytes, encoded when first met."""
+
+    def __init__(self, model, cached: int):
+        super().__init__()
+        self.model, self.cached, self.letters = model, cached, byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.cached:
+            self.clear()
+        letters = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        raw = self[word] = array("H", [token.id for token in self.model.tokenize(letters)]).tobytes()
+        return raw
 
 
 class Encoder:
     """The tokenizer's ids, as bytes, with a memory of words.
 
     On Latin-1 text without special tokens a text's ids are those of its words,
-    each encoded alone.  Any other text goes to the tokenizer whole.
+    each encoded alone by the tokenizer's model.  Any other text goes to the
+    tokenizer whole.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         quiet_threads()
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cached = Tokenizer.from_file(path), cached
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        if max(vocab.values()) > 0xFFFF:
-            raise ValueError("ids must fit in 16 bits")
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.ends[[i for word, i in vocab.items() if word.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = _Words()
+        self.tokenizer = Tokenizer.from_file(path)
+        if max(self.tokenizer.get_vocab(with_added_tokens=True).values()) > 0xFFFF or sys.byteorder != "little":
+            raise ValueError("ids must fit in 16 bits, and the machine be little-endian")
+        self.words = _Words(self.tokenizer.model, cached)
         self.split, self.plain = re.compile(PIECES), re.compile(PLAIN)
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words together, and cut their ids where a word ends."""
-        for at in range(0, len(words), 50_000):
-            some = words[at : at + 50_000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u2")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(some) or (len(ids) and stops[-1] != len(ids)):
-                for word in some:
-                    self.words[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u2").tobytes()
-                continue
-            raw, last = ids.tobytes(), 0
-            for word, stop in zip(some, (stops * 2).tolist()):
-                self.words[word], last = raw[last:stop], stop
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [
-            self.split.findall(text.lower()) if "<|" not in text and self.plain.fullmatch(text) else None for text in texts
-        ]
-        new = set(itertools.chain.from_iterable(words for words in split if words)).difference(self.words)
-        if len(self.words) + len(new) > self.cached:
-            self.words.clear()
-            new = set(itertools.chain.from_iterable(words for words in split if words))
-        self._learn(sorted(new))
-        get = self.words.__getitem__
-        return [
-            b"".join(map(get, words))
-            if words is not None
-            else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-            for words, text in zip(split, texts)
-        ]
+        get, out = self.words.__getitem__, []
+        for text in texts:
+            if "<|" not in text and self.plain.fullmatch(text):
+                out.append(b"".join(map(get, self.split.findall(text.lower()))))
+            else:
+                out.append(array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+        return out
 
 
 @lru_cache(maxsize=2)
