@@ -18,14 +18,26 @@ def _edges(df: DataFrame, a, b) -> DataFrame:
     return df.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v")
 
 
-def _round(edges: DataFrame) -> DataFrame:
-    """A large-star then a small-star step over (u, v), u > v."""
+def _least(edges: DataFrame) -> tuple[DataFrame, str]:
+    """(k, m): the least neighbour of each u.  Written, so that the join with it reads plain exchanges
+    on both sides, of which AQE can split that of a node with very many neighbours."""
+    return materialize_at(edges.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")), "least")
+
+
+def _round(edges: DataFrame) -> tuple[DataFrame, str]:
+    """A large-star then a small-star step over (u, v), u > v; the table written and its path."""
+    spark = edges.sparkSession
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    large = _edges(both.join(least, F.col("u") == F.col("k")).where("v > u"), F.col("v"), F.col("m")).distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-    moved = _edges(large.join(least, F.col("u") == F.col("k")), F.col("v"), F.col("m"))
-    return moved.union(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
+    least, path = _least(both)
+    own = both.join(least.hint("merge"), F.col("u") == F.col("k")).where("v > u")
+    large, large_path = materialize_at(_edges(own, F.col("v"), F.least("k", "m")).distinct(), "large-stars")
+    remove_path(spark, path)
+    least, path = _least(large)
+    moved = _edges(large.join(least.hint("merge"), F.col("u") == F.col("k")), F.col("v"), F.col("m"))
+    stars = materialize_at(moved.union(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "stars")
+    remove_path(spark, path)
+    remove_path(spark, large_path)
+    return stars
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -36,7 +48,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     stamp = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     last = stamp(edges)
     while last[0]:
-        edges, new_path = materialize_at(_round(edges), "stars")
+        edges, new_path = _round(edges)
         remove_path(spark, path)
         now, path = stamp(edges), new_path
         if now == last:
