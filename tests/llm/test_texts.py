@@ -91,6 +91,46 @@ def test_components_of_a_path_a_star_and_a_ring(spark):
     assert found == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 160)}, **{i: 200 for i in range(201, 209)}}
 
 
+def jaccard(a, b, n=5):
+    sets = [{" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (words_of(a), words_of(b))]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_keep_one_confirms_similarity(spark):
+    rng = random.Random(9)
+    base = [[f"word{rng.randrange(500)}" for _ in range(200)] for _ in range(60)]
+    # a changed tail of m words is m shingles of 196 on each side: similarity 0.68 to 0.87
+    tails = [37 if i < 30 else 13 for i in range(60)]
+    near = [[*b[:-m], *[f"other{rng.randrange(500)}" for _ in range(m)]] for b, m in zip(base, tails)]
+    # the same five shingles over and over: equal fingerprints of the counts, unlike sets
+    loop = ["one two three four five six " * 300, "one two three four five six " * 300 + " ".join(base[0][:30])]
+    texts = [" ".join(b) for b in base + near] + loop
+    assert all(0.65 < jaccard(texts[i], texts[60 + i]) < 0.75 for i in range(30)) and jaccard(*loop) < 0.5
+    assert all(jaccard(texts[i], texts[60 + i]) > 0.85 for i in range(30, 60))
+    kept = {r.doc_id for r in simhash.keep_one(docs_of(spark, texts)).collect()}
+    assert kept == {*range(90), 120, 121}
+
+
+@pytest.mark.parametrize("limit", [simhash.SETS, 3000])
+def test_similar_components_by_brute_force(spark, limit):
+    rng = random.Random(10)
+    base = [[f"word{rng.randrange(500)}" for _ in range(150)] for _ in range(12)]
+    texts = []
+    for b in base:  # chains: each copy differs from the one before it in a few words
+        for _ in range(8):
+            texts.append(" ".join(b))
+            at = rng.randrange(140)
+            b = [*b[:at], *[f"new{rng.randrange(900)}" for _ in range(rng.choice((1, 4, 45)))], *b[at + 4 :]]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert 12 < len(set(root)) < len(texts)
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(docs_of(spark, texts), limit).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_keep_one_drops_near_copies_only(spark):
     rng = random.Random(5)
     fresh = lambda n: [f"word{rng.randrange(500)}" for _ in range(n)]
