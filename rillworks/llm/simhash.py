@@ -342,15 +342,15 @@ def similar_components(docs: DataFrame, limit: int = SETS) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` without near duplicates: of each component the row with the smallest doc_id.
 
-    Of rows that share that doc_id one stays.  Rows with a null doc_id stay only
-    where no row of their component has an id, and then one of them does.
+    Of rows that share that doc_id the one with the least hash of its text stays, and of
+    equal texts one.  A row with a null doc_id stays only where no row of its component has an id.
     """
-    rows = materialize(similar_components(docs), "components")
-    named = rows.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    # one exchange of the texts by doc_id serves the join and the removal of repeated ids
-    out = docs.join(named.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    unnamed = rows.where("component_id is null").groupBy("root").agg(F.min("h").alias("h")).select("h")
-    if not unnamed.limit(1).collect():
-        return out
-    lone = docs.where("doc_id is null").withColumn("__h", _text_hash()).join(unnamed.withColumnRenamed("h", "__h"), "__h", "left_semi")
-    return out.union(lone.dropDuplicates(["__h"]).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    none, k = F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0))
+    first = F.min(F.struct(none.alias("none"), "doc_id", "h")).alias("first")
+    # a component per row: rows that share a doc_id may be in several
+    keep = similar_components(docs).groupBy("root").agg(first)
+    keep = materialize(keep.select(F.col("first.none").alias("__none"), F.coalesce("first.doc_id", F.lit(0)).alias("__k"), F.col("first.h").alias("__h")), "kept")
+    # one exchange of the texts serves the join and the removal of repeated rows
+    by = ["__none", "__k", "__h"]
+    keyed = docs.withColumns({"__none": none, "__k": k, "__h": _text_hash()})
+    return keyed.join(keep.hint("shuffle_hash"), by, "left_semi").dropDuplicates(by).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -131,6 +131,14 @@ def test_similar_components_by_brute_force(spark, limit):
     assert got == dict(enumerate(root))
 
 
+def test_keep_one_keeps_a_row_of_each_component(spark):
+    rng = random.Random(11)
+    a, b, c, d = (" ".join(f"word{rng.randrange(500)}" for _ in range(100)) for _ in range(4))
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (1, c), (1, c), (0, d), (None, d), (None, a), (5, ""), (6, None)]
+    kept = simhash.keep_one(docs_of(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (1, b), (1, c), (0, d), (5, "")])
+
+
 def test_keep_one_drops_near_copies_only(spark):
     rng = random.Random(5)
     fresh = lambda n: [f"word{rng.randrange(500)}" for _ in range(n)]
