@@ -3,10 +3,11 @@
 A k-mer of code points is a closed syncmer if the least of its inner s-mers lies
 at its first or last place.  Whether it is one depends on the k-mer alone, so an
 edit disturbs only the anchors that overlap it.  A fingerprint keeps each anchor's
-hash and the position where it first occurs.  Long texts keep a nested sample by hash (level L keeps one in
-2^L), so a fingerprint's size is bounded, and two of different levels are compared
-at the coarser one.  Likeness matches anchors of equal hash whose positions differ
-by at most `slack`, each at most once, and is 2 * matched / all anchors.
+hash and the position where it first occurs, of all anchors, whatever the text's length.
+Likeness matches anchors of equal hash whose positions differ
+by at most `slack`, or have moved as far, within `slack`, as the next anchor of equal hash
+on either side (so a passage matches wherever it stands), each at most once, and is
+2 * matched / all anchors.
 
 A text too short for the guarantee of an anchor (2k - s code points) has all its
 s-mers as anchors; the empty text has none.
@@ -36,15 +37,13 @@ from rillworks.llm.common import small_batches
 
 K = 10
 S = 4
-#: Anchors a fingerprint keeps before the next level of sampling.
-MOST = 128
 #: Code points that a matched anchor may have moved.
 SLACK = 1000
 #: Code points hashed at once.
 CHUNK = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-#: A fingerprint holds the upper 32 bits of a hash; sampling goes by the lower ones of these.
+#: A fingerprint holds the upper 32 bits of a hash.
 TAIL = np.uint64(32)
 
 
@@ -77,52 +76,43 @@ def _anchors(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, _mix(h)
 
 
-def syncmers(text: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """(positions, hashes, level) of a text's fingerprint."""
+def syncmers(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of a text's fingerprint."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     if len(codes) < 2 * K - S:
         n = min(S, len(codes))
         hashes = _grams(codes, n) if n else np.zeros(0, dtype=np.uint64)
-        return _sample(np.arange(len(hashes)), hashes)
+        return _distinct(np.arange(len(hashes)), hashes)
     parts = [(start, *_anchors(codes[start : start + CHUNK + K - 1])) for start in range(0, len(codes) - K + 1, CHUNK)]
     at = np.concatenate([start + p for start, p, _ in parts])
     hashes = np.concatenate([h for _, _, h in parts])
-    return _sample(at, hashes)
+    return _distinct(at, hashes)
 
 
-def _at_level(hashes: np.ndarray, level: int) -> np.ndarray:
-    return (hashes & np.uint64((1 << level) - 1)) == 0
-
-
-def _sample(at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """The first occurrence of each anchor, at the first level that keeps at most MOST."""
+def _distinct(at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first occurrence of each anchor."""
     hashes = hashes >> TAIL
     first = np.sort(np.unique(hashes, return_index=True)[1])
-    at, hashes = at[first], hashes[first]
-    level, keep = 0, np.ones(len(hashes), dtype=bool)
-    while keep.sum() > MOST and level < 32:
-        level += 1
-        keep = _at_level(hashes, level)
-    return at[keep], hashes[keep], level
+    return at[first], hashes[first]
 
 
-def render(fingerprint: tuple[np.ndarray, np.ndarray, int]) -> str:
-    """level:position.hash,position.hash,... in hex."""
-    at, hashes, level = fingerprint
-    return f"{level:x}:" + ",".join(f"{p:x}.{h:08x}" for p, h in zip(at.tolist(), hashes.tolist()))
+def render(fingerprint: tuple[np.ndarray, np.ndarray]) -> str:
+    """0:position.hash,position.hash,... in hex; 0 says that no anchor is left out."""
+    at, hashes = fingerprint
+    return "0:" + ",".join([f"{p:x}.{h:08x}" for p, h in zip(at.tolist(), hashes.tolist())])
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray, int], b: tuple[np.ndarray, np.ndarray, int], slack: int = SLACK) -> float:
-    """Share of anchors that match in hash and, within `slack`, in position, at the coarser level."""
-    level = max(a[2], b[2])
-    (at_a, ha), (at_b, hb) = ((at[k], h[k]) for at, h, _ in (a, b) for k in [_at_level(h, level)])
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], slack: int = SLACK) -> float:
+    """Share of anchors that match in hash and, within `slack`, in position or in how far their neighbours moved."""
+    (at_a, ha), (at_b, hb) = a, b
     if not len(ha) and not len(hb):
-        return float(a[2] == b[2] and np.array_equal(a[1], b[1]))
-    order_a, order_b = np.lexsort((at_a, ha)), np.lexsort((at_b, hb))
-    ha, at_a, hb, at_b = ha[order_a], at_a[order_a], hb[order_b], at_b[order_b]
-    mate = np.searchsorted(hb, ha)
-    ok = mate < len(hb)
-    ok[ok] = (hb[mate[ok]] == ha[ok]) & (np.abs(at_b[mate[ok]] - at_a[ok]) <= slack)
+        return 1.0
+    _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
+    order = np.argsort(i)  # positions ascend
+    moved = at_b[j[order]] - at_a[i[order]]
+    ok, along = np.abs(moved) <= slack, np.abs(np.diff(moved)) <= slack
+    ok[1:] |= along
+    ok[:-1] |= along
     return float(2 * ok.sum() / (len(ha) + len(hb)))
 
 
