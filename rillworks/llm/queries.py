@@ -75,8 +75,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+#: The setting that holds the secret of the pseudonyms, and the key of tests and examples where it is unset.
+KEY_SETTING, EXAMPLE_KEY = "spark.rillworks.pii.key", "an example key"
+
+
+def pii_key(spark: SparkSession) -> bytes:
+    return spark.conf.get(KEY_SETTING, EXAMPLE_KEY).encode()
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymize(table(spark, sf_dir, "documents"))
+    out = pii.pseudonymize(table(spark, sf_dir, "documents"), pii_key(spark))
     return out.select(F.col("row.doc_id").alias("doc_id"), F.col("new_text").alias("text"), "n_replaced", "kinds")
 
 
