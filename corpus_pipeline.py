@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rillworks.llm import line_dedup, packing, pii, quality, simhash
 from rillworks.llm.common import materialize
-from rillworks.llm.queries import tokenizer_path
+from rillworks.llm.queries import pii_key, tokenizer_path
 
 
 def _counted(out: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_names(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put pseudonyms in place of personal values."""
-    return _counted(pii.pseudonymize_documents(docs))
+    return _counted(pii.pseudonymize_documents(docs, pii_key(spark)))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
