@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import re
@@ -224,55 +225,151 @@ def test_label_model_finds_accurate_voters():
     assert model.weight[0] < 0.5 < model.weight[1]  # three copies share one voter's weight
 
 
-def test_syncmer_pairs(spark):
-    rng = random.Random(4)
-    texts = ["".join(rng.choice("abcdefgh é\n") for _ in range(n)) for n in (400, 3000, 20, 13, 5, 1, 0, 700, 30_000)] + [None, "", "dup", "dup"]
-    ids = [*range(len(texts) - 1), len(texts) - 2]
-    docs = docs_of(spark, texts, ids).withColumn("part", F.lit(1)).withColumn("k", F.lit(1))
-    got = {r.doc_id: r for r in syncmers.fingerprint_pairs(docs).collect()}
-    order = sorted(zip(ids, texts), key=lambda x: -x[0])
-    assert len(got) == len(set(ids))
+M64 = 2**64 - 1
+
+
+def brute_anchors(text):
+    """[(position, hash)] by plain arithmetic, one place at a time."""
+
+    def mix(h):
+        h = (h ^ h >> 31) * 0xBF58476D1CE4E5B9 & M64
+        return h ^ h >> 29
+
+    def fold(values):
+        h = 0
+        for i, v in enumerate(values):
+            h = (h * 0x9E3779B97F4A7C15 + v) & M64 if i else v
+        return mix(h)
+
+    codes, k, s = [ord(c) for c in text], syncmers.K, syncmers.S
+    if len(codes) < 2 * k - s:
+        n = min(s, len(codes))
+        return [(i, fold(codes[i : i + n]) >> 32) for i in range(len(codes) - n + 1)] if n else []
+    inner = [fold(codes[i : i + s]) for i in range(len(codes) - s + 1)]
+    out = []
+    for i in range(len(codes) - k + 1):
+        own = inner[i : i + k - s + 1]
+        if min(own) in (own[0], own[-1]):
+            out.append((i, fold([own[0], own[s], own[k - s]] if k - s > s else [own[0], own[k - s]]) >> 32))
+    return out
+
+
+def brute_likeness(a, b, slack=syncmers.SLACK):
+    if not a or not b:
+        return float(a == b)
+    places = {}
+    for at, h in b:
+        places.setdefault(h, []).append(at)
+    seen, moved = {}, []
+    for at, h in a:
+        n = seen[h] = seen.get(h, 0) + 1
+        if n <= len(places.get(h, [])):
+            moved.append(places[h][n - 1] - at)
+    near = lambda i: 0 <= i < len(moved)
+    ok = sum(
+        abs(m) <= slack or any(near(j) and abs(moved[j] - m) <= slack for j in (i - 1, i + 1)) for i, m in enumerate(moved)
+    )
+    return 2 * ok / (len(a) + len(b))
+
+
+def unrendered(text):
+    size, _, raw = text.partition(":")
+    raw, size = base64.b64decode(raw), int(size)
+    n = len(raw) // (size + 4)
+    at = np.cumsum(np.frombuffer(raw[: n * size], f"<u{size}").astype(np.int64))
+    return list(zip(at.tolist(), np.frombuffer(raw[n * size :], "<u4").tolist()))
+
+
+def brute_fingerprints(rows):
+    """The rows of op6 for [(doc_id, text)], ids unique or texts equal."""
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0), reverse=True)
+    out = []
     for (i, text), (_, after) in zip(order, [*order[1:], order[0]]):
         text, after = text or "", after or ""
-        if i == ids[-1]:
-            continue  # two rows share this id
         third = len(text) // 3
         changed = text[: len(text) - third] + after[:third]
-        r = got[i]
-        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
-        assert r.fingerprint == syncmers.render(syncmers.syncmers(text)) and r.edited_fingerprint == syncmers.render(syncmers.syncmers(changed))
-        assert r.near_next == syncmers.likeness(syncmers.syncmers(text), syncmers.syncmers(after))
-        if len(text) > 300:
-            assert 0.5 < r.near_edited < 0.85 and r.near_next < 0.2
+        a, b, c = brute_anchors(text), brute_anchors(changed), brute_anchors(after)
+        out.append((i, len(text), hashlib.sha256(changed.encode()).hexdigest(), a, b, brute_likeness(a, b), brute_likeness(a, c)))
+    return out
+
+
+def got_fingerprints(frame):
+    return [(r.doc_id, r.n_chars, r.edited_sha256, unrendered(r.fingerprint), unrendered(r.edited_fingerprint), r.near_edited, r.near_next) for r in frame.collect()]
+
+
+def same_rows(got, want):
+    key = lambda r: (r[0] is None, r[0] or 0, r[2])
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key)):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:])
+    assert len(got) == len(want)
+
+
+def test_syncmer_pairs_by_brute_force(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh é\n") for _ in range(n)) for n in (400, 3000, 20, 13, 5, 1, 0, 700, 9_000)] + [None, "", "dup", "dup"]
+    texts += ["again and again, " * 60, "x" * 500, texts[0] + texts[7] + texts[0]]
+    ids = [*range(11), 50, 50, 100, 101, None]
+    docs = docs_of(spark, texts, ids).withColumn("part", F.lit(1)).withColumn("k", F.lit(1))
+    same_rows(got_fingerprints(syncmers.fingerprint_pairs(docs)), brute_fingerprints(list(zip(ids, texts))))
     lone = syncmers.fingerprint_pairs(docs_of(spark, ["alone " * 20])).collect()
     assert lone[0].near_next == 1
     assert syncmers.fingerprint_pairs(docs_of(spark, []).where("false")).count() == 0
 
 
-def test_syncmers_by_brute_force():
+def test_op6_by_brute_force(spark, small):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    same_rows(got_fingerprints(queries.op6_syncmers(spark, small)), brute_fingerprints(rows))
+
+
+def test_syncmers_deal_many_rows_of_one_id(spark):
+    texts = [f"text number {i} of the documents without an id" for i in range(400)] + ["equal text"] * 300
+    docs = docs_of(spark, texts, [None] * 350 + [7] * 350).repartition(3)
+    parts = syncmers.ordered_pairs(docs)
+    sizes = {(r.part, r.sentinel): r["count"] for r in parts.groupBy("part", "sentinel").count().collect()}
+    own = {part: n for (part, sentinel), n in sizes.items() if not sentinel}
+    assert len(own) >= 8 and max(n for part, n in own.items()) <= 320
+    # the copies: a row per range, equal rows together
+    assert sum(n for (_, sentinel), n in sizes.items() if sentinel) <= len(own) + 300
+    got = syncmers.fingerprint_pairs(docs).collect()
+    assert sorted((r.doc_id or -1, r.n_chars) for r in got) == sorted((i or -1, len(t)) for i, t in zip([None] * 350 + [7] * 350, texts))
+    equal = [r for r in got if r.n_chars == len("equal text")]
+    assert sum(r.near_next == 1 for r in equal) >= 299
+
+
+def test_syncmers_only_hash_what_changed():
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    for n, m, same in ((500, 480, 300), (500, 20, 20), (40, 40, 12), (17, 30, 9), (16, 16, 16), (300, 309, 300), (300, 310, 300)):
+        a = text(n)
+        b = a[:same] + text(max(0, m - same))
+        for x, y in zip((syncmers.syncmers(b),), (syncmers.changed_after(syncmers.syncmers(a), b, min(same, len(b))),)):
+            assert x.at.tolist() == y.at.tolist() and x.hashes.tolist() == y.hashes.tolist()
+
+
+def test_syncmers_survive_a_shift():
     rng = random.Random(8)
     text = "".join(rng.choice("abcdef") for _ in range(500))
-    codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
-    inner = syncmers._grams(codes, syncmers.S).tolist()
-    w = syncmers.K - syncmers.S + 1
-    want = [i for i in range(len(inner) - w + 1) if min(inner[i : i + w]) in (inner[i], inner[i + w - 1])]
-    assert syncmers._anchors(codes)[0].tolist() == want
-    shifted = syncmers.syncmers("xyz" + text)
-    assert syncmers.likeness(syncmers.syncmers(text), shifted) > 0.9
-    assert syncmers.likeness(syncmers.syncmers(text), syncmers.syncmers(text)) == 1
-    assert syncmers.likeness(syncmers.syncmers(""), syncmers.syncmers("")) == 1
-    assert syncmers.likeness(syncmers.syncmers(""), syncmers.syncmers(text)) == 0
-
-
-def test_syncmers_of_long_texts_are_whole():
+    of = syncmers.syncmers
+    assert syncmers.likeness(of(text), of("xyz" + text)) > 0.9
+    assert syncmers.likeness(of(text), of(text)) == 1
+    assert syncmers.likeness(of(""), of("")) == 1
+    assert syncmers.likeness(of(""), of(text)) == 0
+
+
+def test_syncmers_of_long_texts_are_whole(monkeypatch):
     rng = random.Random(12)
     text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
     passage = text(350)
     for size in (14_000, 128_000):
         a, b = (syncmers.syncmers(t) for t in (passage + text(size), text(size) + passage))
-        codes = np.frombuffer((passage + "x").encode("utf-32-le"), "<u4").astype(np.uint64)
-        assert len(a[0]) > size / 5 and len(syncmers._anchors(codes)[0]) > 80
-        assert syncmers.likeness(a, b) * (len(a[0]) + len(b[0])) / 2 >= 80  # the passage, moved by `size`
+        assert len(a.at) > size / 5 and len(brute_anchors(passage)) > 80
+        assert syncmers.likeness(a, b) * (len(a.at) + len(b.at)) / 2 >= 80  # the passage, moved by `size`
+    own, long = syncmers.syncmers(passage), text(5000)
+    whole = syncmers.syncmers(long)
+    monkeypatch.setattr(syncmers, "CHUNK", 700)
+    assert [list(zip(x.at.tolist(), x.hashes.tolist())) for x in (syncmers.syncmers(passage), syncmers.syncmers(long))] == [
+        list(zip(x.at.tolist(), x.hashes.tolist())) for x in (own, whole)
+    ]
 
 
 PRIVATE = {
