@@ -6,15 +6,16 @@ the labelled sample.  A document is the mean of both over all of its words, and
 a tanh layer and a logistic layer in numpy score it.  A held-back part of the
 sample sets the temperature of the probabilities.
 
-The model is fitted on a bounded sample: the `max_rows` labelled rows of the
-training folds with the smallest hash of their id.  The score sees the text alone.
+The model is fitted on a bounded sample: of the `max_rows` labelled ids of the
+training folds with the smallest hash, one row each.  The score sees the text alone.
 
 Defined cases
 * null, empty or blank text: the zero vector, which has a score like any other;
 * rows with a null label are ignored, several labels of a document are averaged;
 * no labelled row, or labels of one kind only: every score is the smoothed base rate;
 * repeated rows and rows with a null doc_id are scored like others; a null id is in no fold
-  and is never learnt from; an empty table gives an empty result; other columns are ignored.
+  and is never learnt from; of rows that share an id the least text is learnt from;
+* an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -90,9 +91,11 @@ def context_sums(texts: Iterator[str | None], index: np.ndarray) -> np.ndarray:
     for text in texts:
         slots = word_slots(text)
         for start in range(0, len(slots), 20_000):
-            part = slots[start : start + 20_000 + REACH]
             for gap in range(1, REACH + 1):
-                for here, there in ((part[:-gap], part[gap:]), (part[gap:], part[:-gap])):
+                one = slots[start : start + 20_000]  # pairs that begin here, so that each counts once
+                two = slots[start + gap : start + gap + len(one)]
+                one = one[: len(two)]
+                for here, there in ((one, two), (two, one)):
                     if len(here):
                         order = np.argsort(here, kind="stable")
                         ids, first = np.unique(here[order], return_index=True)
@@ -189,8 +192,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
-    # max_rows ids at most, so the side has a fixed size
-    return materialize(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "sample")
+    # max_rows ids at most, so the side has a fixed size, and so has the sample: a row per id
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return materialize(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")), "sample")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held_fold: int = 0, max_rows: int = MAX_ROWS) -> QualityModel:

@@ -8,15 +8,16 @@ is left between two voters within the classes makes them share their weight.  It
 posteriors are the labels a linear classifier over the voters and common words is
 trained on; labels of the training folds then set the scale of its probabilities.
 
-The lexicon, the label model and the classifier are fitted on a bounded sample: the
-`max_rows` labelled rows of the training folds with the smallest hash of their id.
+The lexicon, the label model and the classifier are fitted on a bounded sample: of the
+`max_rows` labelled ids of the training folds with the smallest hash, one row each.
 
 Defined cases
 * null, empty or blank text: no voter fires, and it has a score like any other;
 * rows with a null label are ignored, several labels of a document are averaged;
 * no labelled row: voters of the seed lexicon alone decide (score 0.9 if one fires, else 0.05);
 * repeated rows and rows with a null doc_id are scored like others; a null id is in no fold and
-  is never learnt from; an empty table gives an empty result; other columns are ignored.
+  is never learnt from; of rows that share an id the least text is learnt from;
+* an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,6 +8,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -206,6 +207,28 @@ def test_classifiers_without_labels(spark, module):
         assert len(scores) == 20 and all(0 <= s <= 1 for s in scores)
 
 
+def test_the_sample_is_bounded_by_rows(spark):
+    docs, labels, _ = labelled(spark, 60)
+    many = docs.union(docs_of(spark, [f"copy {i}" for i in range(500)] + [None] * 3, [1] * 503))
+    for max_rows in (10, 1000):
+        sample = quality.labelled_sample(many, labels.union(labels), "quality", 5, 0, max_rows).collect()
+        assert len(sample) == min(max_rows, sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(60)))
+        assert len({r.doc_id for r in sample}) == len(sample)
+
+
+def test_context_sums_by_brute_force():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcdefghij") for _ in range(n)) for n in (0, 1, 2, 50, 41_000)] + [None]
+    index = quality.index_vectors()
+    want = np.zeros(index.shape)
+    for text in texts:
+        slots = quality.word_slots(text).tolist()
+        pairs = Counter((slots[i], slots[j]) for i in range(len(slots)) for j in range(max(0, i - quality.REACH), min(len(slots), i + quality.REACH + 1)) if i != j)
+        for (a, b), n in pairs.items():
+            want[a] += n * index[b]
+    assert np.allclose(quality.context_sums(iter(texts), index), want)
+
+
 def test_labels_of_the_held_out_fold_are_not_learnt(spark):
     docs, labels, _ = labelled(spark, 200)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
