@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import uuid
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from rillworks.llm.common import materialize, small_batches
 
 MARK = "▁"
-MOST = 50_000
+MOST = 100_000
 #: Words up to this length may go through the relation.
 WORD_CHARS = 48
 #: Words a worker remembers beside the broadcast ones; speed only.
@@ -258,22 +259,28 @@ def _pack(ids: list[int]) -> bytes:
 
 
 def frequent_words(docs: DataFrame, pieces: Pieces, most: int = MOST) -> DataFrame:
-    """(word, ids) of frequent words, at most `most`: all whose count, over all texts, reaches a threshold.
+    """(word, ids) of the `most` most frequent words over all texts, of fewer than WORD_CHARS characters and met twice.
 
-    Words after a single blank are counted; those beside a line break are met later.
-    The threshold comes from a histogram of the counts in eighths of a power of two.
+    A histogram of the counts in eighths of a power of two tells the level where the room ends;
+    of that level's words those with the least hashes are taken.
     """
-    parts = F.filter(F.split("text", " "), lambda part: (F.length(part) > 0) & (F.length(part) < WORD_CHARS) & ~F.contains(part, F.lit("\n")))
-    counted = docs.select(F.explode(parts).alias("part")).groupBy("part").count().where("count > 1")
-    words = materialize(counted.select(F.concat(F.lit(MARK), "part").alias("word"), F.floor(F.log2("count") * 8).alias("level")), "words")
+    # a part is what follows a blank (the word's mark) or, with a line break before it, what follows a line break
+    parts = F.filter(F.split(F.replace("text", F.lit("\n"), F.lit(" \n")), " "), lambda part: (F.length(part) > 0) & (F.length(part) < WORD_CHARS))
+    counted = docs.select(F.explode(parts).alias("part")).groupBy("part").count().where("count > 1 and part != '\n'")
+    word = F.when(F.startswith("part", F.lit("\n")), F.substring("part", 2, WORD_CHARS)).otherwise(F.concat(F.lit(MARK), "part"))
+    words = materialize(counted.select(word.alias("word"), F.floor(F.log2("count") * 8).alias("level")), "words")
     levels = words.groupBy("level").count().orderBy(F.desc("level")).collect()  # some hundreds at most
     room, least = most, None
     for row in levels:
-        room -= row["count"]
-        if room < 0:
-            break
         least = row["level"]
-    top = words.where(F.lit(False) if least is None else F.col("level") >= least).select("word")
+        if row["count"] >= room:
+            break
+        room -= row["count"]
+    if least is None:
+        top = words.select("word")
+    else:
+        last = words.where(F.col("level") == least).orderBy(F.xxhash64("word"), "word").limit(room)
+        top = words.where(F.col("level") > least).select("word").union(last.select("word"))
     return materialize(encode_words(top, pieces, "merge"), "word-ids")
 
 
@@ -286,7 +293,7 @@ def encode(docs: DataFrame, model_path: str, most: int = MOST) -> DataFrame:
         raise ValueError("documents are encoded with BPE models; for others use encode_words")
     # `most` rows at most
     known = {row.word: _pack(row.ids) for row in frequent_words(docs, pieces, most).toLocalIterator()}
-    shared = spark.sparkContext.broadcast((known, pieces))
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, known, pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = _worker_words(shared).__getitem__
@@ -300,15 +307,15 @@ def encode(docs: DataFrame, model_path: str, most: int = MOST) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
-_memo: dict[int, _Words] = {}
+_memo: dict[str, _Words] = {}
 
 
 def _worker_words(shared) -> _Words:
-    """One memory of words per worker and broadcast."""
-    key = id(shared.value)
+    """One memory of words per worker and broadcast, by the name that `encode` gave it."""
+    key, known, pieces = shared.value
     if key not in _memo:
         _memo.clear()
-        _memo[key] = _Words(*shared.value)
+        _memo[key] = _Words(known, pieces)
     return _memo[key]
 
 

@@ -36,6 +36,15 @@ def test_documents_encode_as_the_library_does(spark, small, library):
     assert spm.decode(spm.encode(docs.where("false"), PATH), PATH).count() == 0
 
 
+def test_frequent_words_are_those_counted_most(spark):
+    pieces = spm.Pieces.load(PATH)
+    texts = ["the cat\nthe dog\n\nthe cat", "a\n" * 3, None, "the " * 5 + "x" * 60, "x" * 60 + " rare\nonce"]
+    for most, want in ((100, {"▁the", "▁cat", "the", "a", "▁"} - {"▁"}), (1, {"▁the"}), (2, 2), (0, 0)):
+        got = {r.word: r.ids for r in spm.frequent_words(docs_of(spark, texts), pieces, most).collect()}
+        assert (set(got) == want) if isinstance(want, set) else len(got) == want
+        assert all(ids == spm.fold_word(w, pieces) for w, ids in got.items())
+
+
 def words(n=300):
     rng = random.Random(6)
     stems = ["th", "er", "tion", "é", "an", "ing", "日", "🙂", "X", "9", "."]
