@@ -80,17 +80,6 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
-def file_batches(docs: DataFrame, batches: int) -> list[DataFrame]:
-    """Deal the files of a plain table scan into at most `batches` frames; any other frame is one batch."""
-    kind = docs._jdf.queryExecution().analyzed().getClass().getSimpleName()
-    files = sorted(docs.inputFiles()) if kind == "LogicalRelation" else []
-    if batches < 2 or len(files) < 2:
-        return [docs]
-    spark = docs.sparkSession
-    parts = [files[i::batches] for i in range(min(batches, len(files)))]
-    return [spark.read.schema(docs.schema).parquet(*part) for part in parts]
-
-
 def quiet_threads() -> None:
     """In a worker: libraries keep to the task's own core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

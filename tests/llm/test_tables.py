@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillworks.llm import ann, line_dedup, packing, queries, warc
-from rillworks.llm.common import file_batches, materialize
+from rillworks.llm.common import materialize
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -58,7 +58,6 @@ def test_line_dedup(spark, tmp_path, parts):
     path = str(tmp_path / "docs")
     docs_of(spark, texts, ids).repartition(parts).write.parquet(path)
     docs = spark.read.parquet(path)
-    assert len(file_batches(docs, 4)) == min(parts, 4)
     got = line_dedup.dedup_lines(docs, fanout=2).select("row.doc_id", "kept_text", "n_lines", "n_dropped").collect()
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
     assert sorted((tuple(r) for r in got), key=key) == sorted(brute_lines(rows, 40, 5), key=key)
@@ -76,20 +75,50 @@ def test_line_dedup_of_nothing_and_of_odd_columns(spark):
     assert sorted(r.text for r in out.collect()) == [""] * 5 + [LONG]
 
 
-def test_line_runs_compact_and_know_what_is_new(spark):
-    runs = line_dedup.LineRuns(spark, fanout=2)
-    seen = set()
+def test_line_dedup_reads_any_format(spark, tmp_path):
+    docs = docs_of(spark, [LONG] * 6 + ["x"] * 3)
+    docs.write.partitionBy("lang").json(str(tmp_path / "json"))
+    read = spark.read.schema(DOCS).json(str(tmp_path / "json"))
+    assert sorted((r.lang, r.text) for r in line_dedup.dedup_documents(read).collect()) == [("en", "")] * 5 + [("en", "x")] * 3 + [("en", LONG)]
+
+
+def lines_of(batch):
+    return [f"line number {n} is long enough to count as a line" for n in range(batch * 3, batch * 3 + 6)]
+
+
+def test_line_runs_hold_each_key_once(spark):
+    runs, seen = line_dedup.LineRuns(spark, fanout=2), set()
     for batch in range(5):
-        lines = [f"line number {n} is long enough to count as a line" for n in range(batch * 3, batch * 3 + 6)]
-        run = runs.add(line_dedup.summarize(docs_of(spark, lines)))
-        new = {x for x in lines} - seen
-        if len(runs.levels[0]) == 1:  # not merged yet
-            assert run.where("is_new").count() == len(new)
-        seen |= new
-    assert [len(level) for level in runs.levels] == [1, 0, 1]
+        new = runs.add(line_dedup.summarize(docs_of(spark, lines_of(batch))))
+        assert new.count() == len(set(lines_of(batch)) - seen)
+        seen |= set(lines_of(batch))
+        runs.compact()
+    assert [len(level) for level in runs.runs.levels] == [1, 0, 1]
+    assert sum(frame.count() for frame in runs.runs.frames()) == len(seen) == 18
     totals = runs.totals()
-    assert totals.count() == len(seen) == 18
+    assert totals.count() == len(seen)
     assert totals.agg(F.sum("n_docs")).first()[0] == 30
+    runs.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_runs")]
+
+
+def test_line_dedup_rests_on_the_anti_join(spark, monkeypatch):
+    """Without it a key's documents are spread over runs, and no run's row reaches the threshold."""
+    docs = docs_of(spark, [f"{LONG}\n{i}" for i in range(12)])
+    right = line_dedup.dedup_lines(docs, batches=6)
+    assert sorted(r.n_dropped for r in right.collect()) == [0] + [1] * 11
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_runs")]
+    monkeypatch.setattr(line_dedup.LineRuns, "add", lambda self, summary: self.runs.put(summary))
+    wrong = line_dedup.dedup_lines(docs, batches=6)
+    assert sum(r.n_dropped for r in wrong.collect()) != 11
+
+
+def test_bitmaps_pass_all_hashes_and_few_others(spark):
+    rows = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    test = line_dedup.bitmap(rows.where("h is not null").limit(2000), "test")
+    kept = rows.where(test(F.col("h"))).count()
+    assert 2000 <= kept <= 2010
+    assert rows.where(line_dedup.bitmap(rows.where("false"), "test")(F.col("h"))).count() == 0
 
 
 def test_native_line_dedup_has_no_python(spark):
