@@ -1,20 +1,28 @@
 """Approximate nearest neighbours by collision counting over single projections.
 
-The index deals vectors to blocks of bounded size.  A block holds, per random
-projection, its vectors in sorted order.  A query opens a window centred on its
-own projection in every sorted array, and a vector collides where its place lies
-in the window; virtual rehashing widens all windows by one factor until enough
-distinct vectors have reached the collision threshold, and all that have are
-verified by exact inner products.  Largest inner products become nearest
-neighbours by one added coordinate, sqrt(largest norm^2 - norm^2), and queries
-scaled to the largest norm.  Equal vectors are indexed once per block, with all
-their ids, so many copies neither crowd out candidates nor get lost.
+The index deals vectors to blocks of bounded size, and of norms within a factor of
+`BAND`.  A block holds, per projection, its vectors in sorted order.  A query opens a
+window centred on its own projection in every sorted array, and a vector collides
+where its place lies in the window; virtual rehashing widens all windows by one
+factor until enough distinct vectors have reached the collision threshold, and all
+that have are verified by exact inner products.  The projections are the axes of
+random rotations, which together lose nothing of a distance but what windows lose.
+Largest inner products become nearest neighbours by one added coordinate,
+sqrt(largest norm of the block^2 - norm^2), and queries scaled to that norm.  Equal
+vectors are indexed once per block, with all their ids, so many copies neither crowd
+out candidates nor get lost.
+
+A block is built once, in the task that all its query chunks are dealt to (in a few
+tasks where there are fewer blocks than cores).  Every query visits every block and
+counts collisions with each of its vectors, so the work grows with queries * vectors.
 
 Defined cases
 * a vector that is null, empty, zero, or holds null or non-finite components takes no part,
   nor does one without an id, or of another length than the table's most common (the smallest of these);
 * fewer candidates than k: all of them; a query is never its own neighbour;
 * rows that repeat an id ask and answer with each of their vectors and keep the best score per pair of ids;
+  rows equal in id and vector count once, and rows of one id are dealt to all blocks;
+* a block of no more distinct vectors than a query verifies is verified whole;
 * ties go to the smaller vec_id; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -27,20 +35,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillworks.llm.common import materialize
+from rillworks.llm.common import materialize, small_batches
 
 K = 20
 EVERY = 20
-PROJECTIONS = 80
+#: Projections: whole rotations, together at least as many.
+PROJECTIONS = 96
 #: Collisions a candidate needs, as a share of the projections.
-COLLISIONS = 0.78
-#: Distinct vectors of a block that must reach it, as a share, beyond k.
-VERIFY = 0.2
+COLLISIONS = 0.8
+#: Distinct vectors of a block that must reach it: a share and a number, beyond k.
+VERIFY, MORE = 0.02, 65
 #: First half-width in standard deviations of a projection, and the factor of virtual rehashing.
-WIDTH = 1.2
-GROWTH = 1.1
-BLOCK = 8192
+WIDTH, GROWTH = 0.1, 1.03
+#: Vectors of a block, the factor its norms lie within, queries of a chunk, and vectors counted at once.
+BLOCK = 16384
+BAND = 1.25
 CHUNK = 512
+SLICE = 8192
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -50,64 +61,88 @@ def usable(vectors: DataFrame) -> DataFrame:
     rows = vectors.where(v.isNotNull() & F.col("vec_id").isNotNull() & sound & F.exists(v, lambda x: x != 0))
     sizes = rows.groupBy(F.size(v).alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
     rows = rows.where(F.size(v) == (sizes[0]["size"] if sizes else 0))
-    return rows.select("vec_id", v.cast("array<double>").alias("v"))
+    return rows.select("vec_id", v.cast("array<double>").alias("v")).dropDuplicates(["vec_id", "v"])
 
 
 def projections(dims: int, count: int = PROJECTIONS, seed: int = 11) -> np.ndarray:
-    """A row per projection; the last coordinate is the added one."""
-    return np.random.default_rng(seed).normal(size=(count, dims + 1))
+    """A row per projection, in rotations of dims + 1 rows each; the last coordinate is the added one."""
+    rng, size = np.random.default_rng(seed), dims + 1
+    return np.concatenate([np.linalg.qr(rng.normal(size=(size, size)))[0] for _ in range(-(-count // size))])
 
 
 class Block:
     """The sorted arrays of one block and their search."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, top: float, count: int = PROJECTIONS):
-        if count > 255:
-            raise ValueError("collisions are counted in 8 bits: at most 255 projections")
-        order = np.lexsort(ids[None, :])
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, count: int = PROJECTIONS):
+        order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
-        self.vectors, self.owner = np.unique(vectors, axis=0, return_inverse=True)
-        self.owner = self.owner.reshape(-1)
-        by = np.argsort(self.owner, kind="stable")  # ids of a vector, ascending
-        self.ids, self.first = ids[by], np.searchsorted(self.owner[by], np.arange(len(self.vectors) + 1))
-        extra = np.sqrt(np.maximum(0, top * top - (self.vectors**2).sum(axis=1)))
+        self.vectors, owner = np.unique(vectors, axis=0, return_inverse=True)
+        owner = owner.reshape(-1)
+        by = np.argsort(owner, kind="stable")  # ids of a vector, ascending
+        self.ids, self.first = ids[by], np.searchsorted(owner[by], np.arange(len(self.vectors) + 1))
+        norms = (self.vectors**2).sum(axis=1)
+        self.top = float(np.sqrt(norms.max()))
         self.axes = projections(vectors.shape[1], count)
-        values = self.axes[:, :-1] @ self.vectors.T + self.axes[:, -1:] * extra
-        place = np.argsort(values, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(values, place, axis=1)
-        self.place = np.empty(place.shape, dtype=np.uint16)
-        np.put_along_axis(self.place, place, np.arange(place.shape[1], dtype=np.uint16)[None, :], axis=1)
-        self.top = top
-        self.width = WIDTH * (float(values.std()) or 1.0)
-
-    def candidates(self, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(query, its distinct vectors with enough collisions), in the order of the widening that ends each."""
+        m, n = len(self.axes), len(self.vectors)
+        values = self.axes[:, :-1] @ self.vectors.T + self.axes[:, -1:] * np.sqrt(np.maximum(0, norms.max() - norms))
+        self.scale = float(values.std()) or 1.0
+        values /= self.scale
+        # the sorted arrays end to end, each moved beyond the one before it, so that one search places windows in all
+        self.step = 4 * (float(np.abs(values).max()) + 1)
+        self.sorted = np.empty((m, n))
+        places = np.empty((m, n), dtype=np.uint8)  # places in 256ths of the array
+        for j in range(m):
+            at = np.argsort(values[j], kind="stable")
+            self.sorted[j] = values[j, at] + j * self.step
+            places[j, at] = (np.arange(n) * 256 // n).astype(np.uint8)
+        self.sorted = self.sorted.reshape(-1)
+        self.places = [np.ascontiguousarray(places[:, i : i + SLICE]) for i in range(0, n, SLICE)]
+        self.level, self.verified = 0, 0
+
+    def _windows(self, centre: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Per projection the first place of the window, in 256ths, and how many follow; whether they hold all."""
+        m, n = len(self.axes), len(self.vectors)
+        # beyond half a step lies another array
+        width, shift = WIDTH * GROWTH**level, np.arange(m) * self.step
+        low = np.searchsorted(self.sorted, np.maximum(centre - width, -self.step / 2) + shift, "left") - np.arange(m) * n
+        high = np.searchsorted(self.sorted, np.minimum(centre + width, self.step / 2) + shift, "right") - np.arange(m) * n
+        first = np.minimum(low * 256 // n, 255)
+        last = np.maximum(-(-high * 256 // n) - 1, first)
+        return first.astype(np.uint8), (last - first).astype(np.uint8), bool(low.max() == 0 and high.min() == n)
+
+    def _reached(self, centre: np.ndarray, level: int, need: int) -> tuple[np.ndarray, bool]:
+        """The vectors with enough collisions, and whether the windows hold all."""
+        first, more, whole = self._windows(centre, level)
+        out = []
+        for at, places in enumerate(self.places):
+            # one comparison says "first <= place <= first + more": below first the difference wraps around
+            inside = (places - first[:, None]) <= more[:, None]
+            counts = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint16 if len(places) > 255 else np.uint8)
+            out.append(np.flatnonzero(counts >= need) + at * SLICE)
+        return np.concatenate(out), whole
+
+    def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
+        """The distinct vectors with enough collisions at the first widening where as many as wanted have them."""
         n, m = len(self.vectors), len(self.axes)
-        want, need = min(n, int(np.ceil(VERIFY * n)) + k + 1), int(np.ceil(COLLISIONS * m))
+        want, need = int(np.ceil(VERIFY * n)) + MORE + k + 1, int(np.ceil(COLLISIONS * m))
         if want >= n:
-            yield from ((q, np.arange(n)) for q in range(len(queries)))
-            return
-        centres = (queries * (self.top / np.linalg.norm(queries, axis=1, keepdims=True))) @ self.axes[:, :-1].T
-        left, width = np.arange(len(queries)), self.width
-        gap, inside = np.empty_like(self.place), np.empty(self.place.shape, dtype=bool)
-        while len(left):
-            edges = lambda at, side: np.array([np.searchsorted(s, c, side) for s, c in zip(self.sorted, at.T)])
-            low, high = edges(centres[left] - width, "left"), edges(centres[left] + width, "right")
-            ended = np.zeros(len(left), dtype=bool)
-            for i, q in enumerate(left.tolist()):
-                # one comparison says "low <= place < high": below low the difference wraps around
-                np.subtract(self.place, low[:, i, None].astype(np.uint16), out=gap)
-                np.less(gap, (high[:, i, None] - low[:, i, None]).astype(np.uint16), out=inside)
-                enough = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8) >= need
-                whole = low[:, i].max() == 0 and high[:, i].min() == n
-                if whole or np.count_nonzero(enough) >= want:
-                    ended[i] = True
-                    yield q, np.flatnonzero(enough)
-            left, width = left[~ended], width * GROWTH
-
-    def best(self, query_id: int, query: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k nearest among the candidates, by exact inner products."""
-        scores = self.vectors[found] @ query
+            found = np.arange(n)
+        else:
+            centre = self.axes[:, :-1] @ (query * (self.top / np.linalg.norm(query))) / self.scale
+            # wider windows never lose a vector, so the search may begin where the last query's ended
+            found, whole = self._reached(centre, self.level, need)
+            if len(found) >= want:
+                while self.level and len((fewer := self._reached(centre, self.level - 1, need)[0])) >= want:
+                    self.level, found = self.level - 1, fewer
+            else:
+                while len(found) < want and not whole:
+                    self.level += 1
+                    found, whole = self._reached(centre, self.level, need)
+        self.verified += len(found)
+        return found
+
+    def best(self, query_id: int, found: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k nearest among the candidates, whose exact inner products are given."""
         if len(found) > k + 1:  # the query's own vector may be among them
             keep = scores >= np.partition(scores, -(k + 1))[-(k + 1)]
             found, scores = found[keep], scores[keep]
@@ -118,51 +153,68 @@ class Block:
         first = np.lexsort((ids, -values))[:k]
         return ids[first], values[first]
 
-
-def build_index(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int, float]:
-    """(block, ids, vectors): packed blocks of about `block` rows each, dealt by a hash of the id; how many; the largest norm."""
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    n, top = rows.agg(F.count(F.lit(1)), F.max(norm)).first()
-    blocks = max(1, -(-n // block))
-    packed = (
-        rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
-        .agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
-        .select("block", F.col("rows.vec_id").alias("ids"), F.flatten("rows.v").alias("vectors"))
-    )
-    return materialize(packed, "ann-index"), blocks, float(np.sqrt(top or 0.0))
-
-
-def nearest(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query ids, ids, scores) of the k nearest found of each query; equal queries are searched for once."""
+        distinct, owner = np.unique(queries, axis=0, return_inverse=True)
+        askers = np.argsort(owner.reshape(-1), kind="stable")
+        ends = np.cumsum(np.bincount(owner.reshape(-1), minlength=len(distinct)))
+        out = []
+        for q, own in zip(distinct, np.split(askers, ends[:-1])):
+            found = self.candidates(q, k)
+            scores = self.vectors[found] @ q
+            for query_id in query_ids[own].tolist():
+                near, best = self.best(query_id, found, scores, k)
+                out.append((np.full(len(near), query_id), near, best))
+        return tuple(np.concatenate(column) for column in zip(*out))
+
+
+def _packed(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, ids, vectors): the rows of each group, their vectors end to end."""
+    packed = rows.groupBy(*by).agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
+    return packed.select(*by, F.col("rows.vec_id").alias("ids"), F.flatten("rows.v").alias("vectors"))
+
+
+def blocks_of(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, dict[int, int]]:
+    """`rows` with band and sub, which name a block of about `block` rows; and how many blocks each band has."""
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    banded = rows.withColumn("band", F.round(F.log(norm) / float(np.log(BAND))).cast("int"))
+    # a row per band: no more than there are powers of BAND among the doubles
+    subs = {r.band: -(-r["count"] // block) for r in banded.groupBy("band").count().collect()}
+    n = F.create_map(*[F.lit(x) for pair in subs.items() for x in pair])[F.col("band")] if subs else F.lit(1)
+    return banded.withColumn("sub", F.pmod(F.xxhash64("vec_id", "v"), n).cast("int")), subs
+
+
+def nearest(vectors: DataFrame, every: int = EVERY, k: int = K, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by `every`."""
+    spark = vectors.sparkSession
+    small_batches(spark)
     rows = materialize(usable(vectors), "ann-rows")
-    index, blocks, top = build_index(rows)
+    dealt, subs = blocks_of(rows, block)
+    n_blocks = max(1, sum(subs.values()))
+    # the tasks of a block: one, but where there are fewer blocks than cores
+    tasks = -(-spark.sparkContext.defaultParallelism // n_blocks)
     queries = rows.where(F.col("vec_id") % every == 0)
-    chunks = max(1, -(-queries.count() // CHUNK))
-    asked = (
-        queries.groupBy(F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(chunks)).cast("int").alias("chunk"))
-        .agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
-        .select("chunk", F.col("rows.vec_id").alias("query_ids"), F.flatten("rows.v").alias("queries"))
-    )
-    # every block meets every chunk, each pair a key of its own
-    left = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    right = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-    pairs = left.join(right.hint("merge"), ["block", "chunk"]).select("ids", "vectors", "query_ids", "queries")
+    chunks = max(tasks, -(-queries.count() // CHUNK))
+    asked = _packed(queries.withColumn("chunk", F.pmod(F.xxhash64(F.lit(5), "vec_id", "v"), F.lit(chunks)).cast("int")), "chunk")
+    names = F.array(*[F.struct(F.lit(band).alias("band"), F.lit(sub).alias("sub")) for band, n in subs.items() for sub in range(n)]) if subs else F.expr("cast(array() as array<struct<band:int,sub:int>>)")
+    asked = asked.withColumn("block", F.explode(names)).select("block.band", "block.sub", F.pmod("chunk", F.lit(tasks)).alias("task"), "chunk", "ids", "vectors")
+    index = _packed(dealt, "band", "sub").select("band", "sub", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), F.lit(-1).alias("chunk"), "ids", "vectors")
+    # a block comes before its chunks
+    stream = index.union(asked).repartition(n_blocks * tasks, "band", "sub", "task").sortWithinPartitions("band", "sub", "task", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = lambda column, at: column[at].values.to_numpy(zero_copy_only=False)
+        own = None
         for batch in batches:
             for at in range(batch.num_rows):
-                ids, query_ids = flat(batch.column(0), at), flat(batch.column(2), at)
-                block = Block(ids, flat(batch.column(1), at).reshape(len(ids), -1), top)
-                asked_for = flat(batch.column(3), at).reshape(len(query_ids), -1)
-                out = []
-                for q, found in block.candidates(asked_for, k):
-                    near, scores = block.best(int(query_ids[q]), asked_for[q], found, k)
-                    out.append((np.full(len(near), query_ids[q]), near, scores))
-                columns = [np.concatenate(c) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+                ids = flat(batch.column(1), at)
+                found = flat(batch.column(2), at).reshape(len(ids), -1)
+                if batch.column(0)[at].as_py() < 0:
+                    own = Block(ids, found)
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in own.search(ids, found, k)], ["query_id", "vec_id", "score"])
+
+    found = stream.select("chunk", "ids", "vectors").mapInArrow(run, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

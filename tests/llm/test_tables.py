@@ -6,6 +6,7 @@ import base64
 import hashlib
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -225,7 +226,67 @@ def test_nearest_on_odd_rows(spark):
     assert ann.nearest(vectors_of(spark, rows).where("false")).count() == 0
 
 
-@pytest.mark.parametrize("kind", ["isotropic", "copies", "norms"])
+def test_nearest_of_many_rows_of_one_id(spark):
+    rng = np.random.default_rng(7)
+    rows = [(0, v.tolist(), 1) for v in rng.normal(size=(300, 8))] + [(i, v.tolist(), 1) for i, v in enumerate(rng.normal(size=(200, 8)), 1)]
+    rows += [(3, [1.0] * 8, 1)] * 50 + [(5, [2.0] * 8, 1)]
+    dealt, subs = ann.blocks_of(ann.usable(vectors_of(spark, rows)), 40)
+    sizes = [r["count"] for r in dealt.groupBy("band", "sub").count().collect()]
+    assert sum(sizes) == 502 and len(sizes) <= sum(subs.values()) and max(sizes) < 90
+    got = ann.nearest(vectors_of(spark, rows), every=100, block=40).collect()
+    best = {}
+    as_float = [(i, np.array(v, dtype=np.float32).astype(float)) for i, v, _ in rows]
+    for q, v in as_float:
+        for i, w in as_float if q % 100 == 0 else []:
+            if i != q:
+                best[q, i] = max(best.get((q, i), -1e9), float(v @ w))
+    for q in (0, 100, 200):
+        want = sorted(((-s, i) for (a, i), s in best.items() if a == q))[:20]
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [i for _, i, _ in mine] == [i for _, i in want] and np.allclose([s for _, _, s in mine], [-s for s, _ in want])
+
+
+@pytest.mark.parametrize("kind,n,k", [("isotropic", 8192, 20), ("isotropic", 70_000, 20), ("clustered", 16_384, 20), ("copies", 16_384, 20)])
+def test_a_block_verifies_few_vectors(kind, n, k):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(n, 64))
+    if kind == "clustered":
+        v = rng.normal(size=(80, 64))[rng.integers(0, 80, n)] + 0.6 * v
+    if kind == "copies":
+        v[: n // 3] = v[0]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    block, queries = ann.Block(np.arange(n), v), np.arange(0, n, n // 60)
+    ids, near, scores = block.search(queries, v[queries], k)
+    exact = v[queries] @ v.T
+    exact[np.arange(len(queries)), queries] = -9
+    least = -np.partition(-exact, k - 1, axis=1)[:, k - 1]
+    found = [scores[ids == q] for q in queries]
+    assert all(len(s) == k for s in found)
+    assert sum((s >= t - 1e-12).sum() for s, t in zip(found, least)) >= 0.95 * k * len(queries)
+    assert block.verified <= 0.05 * len(block.vectors) * len(queries)
+    # what a query finds doesn't depend on the one before it
+    fresh = ann.Block(np.arange(n), v)
+    again = [fresh.search(queries[at : at + 1], v[queries[at : at + 1]], k) for at in (50, 3)]
+    assert [a[1].tolist() for a in again] == [near[ids == queries[at]].tolist() for at in (50, 3)]
+
+
+def test_recall_on_the_provided_vectors(spark):
+    folder = "/root/testdata/sf0.1"
+    if not Path(folder).exists():
+        pytest.skip("the provided tables aren't here")
+    frame = spark.read.parquet(f"{folder}/embeddings.parquet").toPandas()
+    v = np.stack(frame.embedding.to_numpy()).astype(float)
+    got = queries.op4_neighbours(spark, folder).toPandas()
+    hits, asked = 0, np.flatnonzero(frame.vec_id % 20 == 0)
+    for at in asked:
+        scores = v @ v[at]
+        scores[at] = -9
+        best = set(frame.vec_id.iloc[np.argsort(-scores, kind="stable")[:20]])
+        hits += len(best & set(got[got.query_id == frame.vec_id.iloc[at]].vec_id))
+    assert len(got) == 20 * len(asked) and hits >= 0.9 * len(got)
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "copies", "norms", "one large"])
 def test_nearest_recall(spark, kind):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(3000, 32)).astype(np.float32)
@@ -234,6 +295,8 @@ def test_nearest_recall(spark, kind):
         v[:1000] = v[0]
     if kind == "norms":
         v *= rng.uniform(0.5, 2, (3000, 1)).astype(np.float32)
+    if kind == "one large":
+        v[:3] *= 20
     rows = [(i, x.astype(float)) for i, x in enumerate(v)]
     got = ann.nearest(vectors_of(spark, [(i, x.tolist(), 0) for i, x in enumerate(v)]), every=100).toPandas()
     want = brute_nearest(rows, 100, 20)
