@@ -228,7 +228,7 @@ def dedup_lines(
     drops = (
         lines.select("id", "text_hash", "pos", *_hashes(F.col("key")))
         .where(is_heavy(F.col("h1")))
-        .join(heavy, KEYS)
+        .join(heavy.hint("merge"), KEYS)
         .where(~F.col("id").eqNullSafe(F.col("last_doc")))
         .groupBy("id", "text_hash")
         .agg(F.sort_array(F.collect_set("pos")).alias("drops"))
@@ -243,7 +243,7 @@ def dedup_lines(
     n_lines = F.size(F.split(whole, "\n")).cast("long").alias("n_lines")
     as_is = rows.where(~may_drop(F.col("text_hash"))).select("row", whole.alias("kept_text"), n_lines, F.lit(0).cast("long").alias("n_dropped"))
     same = F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("text_hash") == F.col("drop_hash"))
-    cut = rows.where(may_drop(F.col("text_hash"))).join(drops, same, "left").select(
+    cut = rows.where(may_drop(F.col("text_hash"))).join(drops.hint("merge"), same, "left").select(
         "row",
         F.when(F.col("drops").isNull(), whole).otherwise(_kept(F.split(whole, "\n"), F.col("drops"))).alias("kept_text"),
         n_lines,
