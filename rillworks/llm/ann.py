@@ -4,8 +4,9 @@ The index deals vectors to blocks of bounded size, and of norms within a factor
 `BAND`.  A block holds, per projection, its vectors in sorted order.  A query opens a
 window centred on its own projection in every sorted array, and a vector collides
 where its place lies in the window; virtual rehashing widens all windows by one
-factor until enough distinct vectors have reached the collision threshold, and all
-that have are verified by exact inner products.  The projections are the axes of
+factor until enough distinct vectors have reached the collision threshold (measured on
+every so many vectors of the block, `SAMPLE` of them or more), and all of the block's that
+have are verified by exact inner products.  The projections are the axes of
 random rotations, which together lose nothing of a distance but what windows lose.
 Largest inner products become nearest neighbours by one added coordinate,
 sqrt(largest norm of the block^2 - norm^2), and queries scaled to that norm.  Equal
@@ -52,6 +53,8 @@ BLOCK = 16384
 BAND = 1.25
 CHUNK = 512
 SLICE = 8192
+#: Vectors of a block on which a widening is judged.
+SAMPLE = 2048
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -87,34 +90,38 @@ class Block:
         values = self.axes[:, :-1] @ self.vectors.T + self.axes[:, -1:] * np.sqrt(np.maximum(0, norms.max() - norms))
         self.scale = float(values.std()) or 1.0
         values /= self.scale
-        # the sorted arrays end to end, each moved beyond the one before it, so that one search places windows in all
-        self.step = 4 * (float(np.abs(values).max()) + 1)
-        self.sorted = np.empty((m, n))
-        places = np.empty((m, n), dtype=np.uint8)  # places in 256ths of the array
+        # places are kept as cells of the sorted arrays, 256 at most; of each cell its least value, the
+        # arrays' end to end and each moved beyond the one before it, so that one search places windows in all
+        self.step, self.cells = 4 * (float(np.abs(values).max()) + 1), min(256, n)
+        places = np.empty((m, n), dtype=np.uint8)
+        cell = np.arange(n) * self.cells // n
+        starts = np.searchsorted(cell, np.arange(self.cells))
+        self.edges = np.empty((m, self.cells))
         for j in range(m):
             at = np.argsort(values[j], kind="stable")
-            self.sorted[j] = values[j, at] + j * self.step
-            places[j, at] = (np.arange(n) * 256 // n).astype(np.uint8)
-        self.sorted = self.sorted.reshape(-1)
+            self.edges[j] = values[j, at[starts]] + j * self.step
+            places[j, at] = cell
+        self.edges = self.edges.reshape(-1)
         self.places = [np.ascontiguousarray(places[:, i : i + SLICE]) for i in range(0, n, SLICE)]
+        self.every = max(1, n // SAMPLE)
+        self.sample = [np.ascontiguousarray(places[:, :: self.every])]
         self.level, self.verified = 0, 0
 
     def _windows(self, centre: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Per projection the first place of the window, in 256ths, and how many follow; whether they hold all."""
-        m, n = len(self.axes), len(self.vectors)
+        """Per projection the first cell of the window and how many follow; whether they hold all."""
+        order = np.arange(len(self.axes))
+        width, shift, start = WIDTH * GROWTH**level, order * self.step, order * self.cells
         # beyond half a step lies another array
-        width, shift = WIDTH * GROWTH**level, np.arange(m) * self.step
-        low = np.searchsorted(self.sorted, np.maximum(centre - width, -self.step / 2) + shift, "left") - np.arange(m) * n
-        high = np.searchsorted(self.sorted, np.minimum(centre + width, self.step / 2) + shift, "right") - np.arange(m) * n
-        first = np.minimum(low * 256 // n, 255)
-        last = np.maximum(-(-high * 256 // n) - 1, first)
-        return first.astype(np.uint8), (last - first).astype(np.uint8), bool(low.max() == 0 and high.min() == n)
-
-    def _reached(self, centre: np.ndarray, level: int, need: int) -> tuple[np.ndarray, bool]:
+        low = np.searchsorted(self.edges, np.maximum(centre - width, -self.step / 2) + shift, "right") - 1 - start
+        high = np.searchsorted(self.edges, np.minimum(centre + width, self.step / 2) + shift, "right") - 1 - start
+        low, high = np.maximum(low, 0), np.maximum(high, 0)
+        return low.astype(np.uint8), (high - low).astype(np.uint8), bool(low.max() == 0 and high.min() == self.cells - 1)
+
+    def _reached(self, parts: list[np.ndarray], centre: np.ndarray, level: int, need: int) -> tuple[np.ndarray, bool]:
         """The vectors with enough collisions, and whether the windows hold all."""
         first, more, whole = self._windows(centre, level)
         out = []
-        for at, places in enumerate(self.places):
+        for at, places in enumerate(parts):
             # one comparison says "first <= place <= first + more": below first the difference wraps around
             inside = (places - first[:, None]) <= more[:, None]
             counts = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint16 if len(places) > 255 else np.uint8)
@@ -129,18 +136,29 @@ class Block:
             found = np.arange(n)
         else:
             centre = self.axes[:, :-1] @ (query * (self.top / np.linalg.norm(query))) / self.scale
-            # wider windows never lose a vector, so the search may begin where the last query's ended
-            found, whole = self._reached(centre, self.level, need)
-            if len(found) >= want:
-                while self.level and len((fewer := self._reached(centre, self.level - 1, need)[0])) >= want:
-                    self.level, found = self.level - 1, fewer
-            else:
-                while len(found) < want and not whole:
-                    self.level += 1
-                    found, whole = self._reached(centre, self.level, need)
+            level = self._level(centre, need, -(-want // self.every))
+            found, whole = self._reached(self.places, centre, level, need)
+            while len(found) <= k and not whole:  # the sample promised more
+                level += 1
+                found, whole = self._reached(self.places, centre, level, need)
         self.verified += len(found)
         return found
 
+    def _level(self, centre: np.ndarray, need: int, want: int) -> int:
+        """The first widening at which `want` vectors of the sample have enough collisions.
+
+        Wider windows never lose a vector, so the search may begin where the last query's ended.
+        """
+        found, whole = self._reached(self.sample, centre, self.level, need)
+        if len(found) >= want:
+            while self.level and len(self._reached(self.sample, centre, self.level - 1, need)[0]) >= want:
+                self.level -= 1
+        else:
+            while len(found) < want and not whole:
+                self.level += 1
+                found, whole = self._reached(self.sample, centre, self.level, need)
+        return self.level
+
     def best(self, query_id: int, found: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k nearest among the candidates, whose exact inner products are given."""
         if len(found) > k + 1:  # the query's own vector may be among them
