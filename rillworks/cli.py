@@ -1,14 +1,15 @@
-"""python -m rillworks run NAME | examples | bench [NAME...] | version."""
+"""python -m rillworks run NAME | examples | catalog | bench [NAME...] | bench-check OLD NEW | version."""
 
 from __future__ import annotations
 
 import argparse
 import importlib
+import json
 import sys
 from collections.abc import Callable, Sequence
 
 from rillworks import __version__
-from rillworks.measure import measure
+from rillworks.measure import Timing, measure, regressed
 from rillworks.plans.pipelines import PIPELINES
 from rillworks.session import session
 from rillworks.stream import Stream
@@ -24,6 +25,11 @@ def load(name: str) -> Callable[..., Stream]:
     return getattr(importlib.import_module(module), function)
 
 
+def _timings(path: str) -> dict[str, Timing]:
+    with open(path) as file:
+        return {name: Timing(name, tuple(seconds)) for name, seconds in json.load(file).items()}
+
+
 def main(args: Sequence[str] | None = None) -> int:
     parser = argparse.ArgumentParser("rillworks", description=__doc__)
     parser.add_argument("--master", default="local[*]")
@@ -36,25 +42,46 @@ def main(args: Sequence[str] | None = None) -> int:
     sub.add_parser("examples", help="name the pipelines")
     timed = sub.add_parser("bench", help="time pipelines")
     timed.add_argument("names", nargs="*")
-    timed.add_argument("--trials", type=int, default=3)
+    timed.add_argument("--trials", type=int, default=5)
+    timed.add_argument("--json", action="store_true", help="print every trial, for bench-check")
+    sub.add_parser("catalog", help="name the queries, and which of them have SQL to agree with")
+    held = sub.add_parser("bench-check", help="compare two outputs of bench --json; fails where the newer is slower")
+    held.add_argument("old")
+    held.add_argument("new")
     sub.add_parser("version")
     got = parser.parse_args(args)
     if got.command == "version":
         print(__version__)
     elif got.command == "examples":
         print("\n".join(PIPELINES))
+    elif got.command == "catalog":
+        from rillworks.plans.catalogue import ORACLES, QUERIES
+
+        print("\n".join(f"{name}\t{'SQL' if name in ORACLES else 'rows'}" for name in QUERIES))
     elif got.command == "run":
-        result = load(got.name)(session(master=got.master)).run(parallelism=got.parallelism)
-        for row in result.to_pylist()[: got.rows]:
+        stream = load(got.name)(session(master=got.master))
+        for row in stream.map(lambda df: df.limit(got.rows)).run(parallelism=got.parallelism).to_pylist():
             print(row)
         if got.report:
-            print(result.report.to_markdown() if got.report == "markdown" else result.report.to_json())
+            report = stream.profile()
+            print(report.to_markdown() if got.report == "markdown" else report.to_json())
+    elif got.command == "bench-check":
+        old, new = (_timings(path) for path in (got.old, got.new))
+        slower = [name for name in new if name in old and regressed(new[name], old[name])]
+        for name in new:
+            if name in old:
+                print(f"{name}: {old[name].median:.3f} s, now {new[name].median:.3f} s{', slower' if name in slower else ''}")
+        return 1 if slower else 0
     else:
-        spark = session(master=got.master)
+        spark, found = session(master=got.master), {}
         for name in got.names or [n for n in PIPELINES if n.startswith("bench-")]:
             make = load(name)
             timing = measure(name, lambda make=make: make(spark).df.write.format("noop").mode("overwrite").save(), trials=got.trials)
-            print(f"{name}: {timing.median:.3f} s, spread {timing.spread:.0%}")
+            found[name] = timing.seconds
+            if not got.json:
+                print(f"{name}: {timing.median:.3f} s, spread {timing.spread:.0%}")
+        if got.json:
+            print(json.dumps(found))
     return 0
 
 

@@ -12,8 +12,8 @@ from rillworks.functions import checks
 from rillworks.operators.reshape import quoted
 
 HOWS = {"inner": "inner", "left": "left", "right": "right", "outer": "full"}
-#: Rows of a range join's right side that may be broadcast.
-RANGE_ROWS = 100_000
+#: Rows and bytes of a range join's right side that may be broadcast: every left row meets every one of them.
+RANGE_ROWS, RANGE_BYTES = 512, 4 << 20
 
 
 def key_pairs(
@@ -53,7 +53,8 @@ def join(
     """Left columns, then right columns without the keys; null keys match null keys.
 
     An unmatched right row puts its key, cast to the left type, in the left key
-    column.  The planner picks the strategy; AQE splits skewed partitions.
+    column; a key that the left type can't hold fails the job.  The planner picks the
+    strategy; AQE splits skewed partitions.
     """
     lkeys, rkeys = key_pairs(on, left_on, right_on)
     if how not in HOWS:
@@ -76,27 +77,63 @@ def join(
         key = F.col(keys[lkeys.index(column)])
         left_kind, right_kind = left.schema[column].dataType, right.schema[rkeys[lkeys.index(column)]].dataType
         if left_kind != right_kind:
-            key = key.try_cast(left_kind)
+            there_is = key.isNotNull() & key.try_cast(left_kind).isNull()
+            wrong = F.raise_error(F.concat(F.lit(f"join: the left key {column} of type {left_kind.simpleString()} can't hold "), key.cast("string")))
+            key = F.when(there_is, wrong.cast(left_kind)).otherwise(key.try_cast(left_kind))
         return F.coalesce(quoted(column), key).alias(column)
 
     return joined.select(*map(own, left.columns), *map(quoted, rest))
 
 
-def range_join(left: DataFrame, ranges: DataFrame, condition: Column, how: str = "inner", rows: int = RANGE_ROWS) -> DataFrame:
+def range_join(
+    left: DataFrame, ranges: DataFrame, condition: Column, how: str = "inner", rows: int = RANGE_ROWS, size: int = RANGE_BYTES
+) -> DataFrame:
     """Join on any condition against a bounded set of ranges.
 
-    The ranges are counted up to the bound first; they are broadcast only within
-    it.  Larger sets need an equi-join on buckets of the ranged value instead
-    (`bucket_join`).
+    The ranges and their bytes are counted up to the bounds first; they are broadcast only within
+    them.  Larger sets need an equi-join on buckets of the ranged value instead (`interval_join`
+    picks one of the two).
     """
-    if ranges.limit(rows + 1).count() > rows:
-        raise ValueError(f"range_join: more than {rows} ranges; use bucket_join")
+    if not _small(ranges, rows, size):
+        raise ValueError(f"range_join: more than {rows} ranges or {size} bytes; use interval_join or bucket_join")
     return left.join(F.broadcast(ranges), condition, how)
 
 
+def _small(ranges: DataFrame, rows: int, size: int) -> bool:
+    width = F.octet_length(F.to_json(F.struct(*map(quoted, ranges.columns))))
+    n, total = ranges.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return n <= rows and total <= size
+
+
 def bucket_join(left: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
-    """Inner join on low <= value <= high for any number of ranges: both sides go to buckets of `width` and meet by equality."""
-    bucket = lambda c: F.floor(quoted(c) / width)
-    there = ranges.withColumn("__bucket", F.explode(F.sequence(bucket(low), bucket(high))))
-    here = left.withColumn("__bucket", bucket(value))
-    return here.join(there, "__bucket").where(quoted(value).between(quoted(low), quoted(high))).drop("__bucket")
+    """Inner join on low <= value <= high for any number of ranges: both sides go to buckets and meet by equality.
+
+    A range goes to the level whose buckets, `width` times a power of two, are as wide as the range
+    or wider, so to two buckets at most; a value goes to its bucket of every level in use.
+    """
+    size = lambda level: F.lit(float(width)) * F.pow(F.lit(2.0), level)
+    span = (quoted(high) - quoted(low)).cast("double") / width
+    level = F.when(span <= 1, F.lit(0)).otherwise(F.ceil(F.log2(span))).cast("int")
+    bucket = lambda c, at: F.floor(quoted(c).cast("double") / size(at))
+    placed = ranges.where(quoted(low) <= quoted(high)).withColumn("__level", level)
+    # one row per power of two between the narrowest range and the widest
+    used = sorted(r["__level"] for r in placed.select("__level").distinct().collect())
+    at = F.col("__level")
+    there = placed.withColumn("__bucket", F.explode(F.sequence(bucket(low, at), bucket(high, at))))
+    here = left.withColumn("__level", F.explode(F.array(*map(F.lit, used)) if used else F.expr("cast(array() as array<int>)"))).withColumn("__bucket", bucket(value, at))
+    return here.join(there, ["__level", "__bucket"]).where(quoted(value).between(quoted(low), quoted(high))).drop("__level", "__bucket")
+
+
+def interval_join(
+    left: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float, rows: int = RANGE_ROWS, size: int = RANGE_BYTES
+) -> DataFrame:
+    """Inner join on low <= value <= high: broadcast where the ranges are few and small, else on buckets."""
+    if _small(ranges, rows, size):
+        return left.join(F.broadcast(ranges), quoted(value).between(quoted(low), quoted(high)))
+    return bucket_join(left, ranges, value, low, high, width)
+
+
+def tags(df: DataFrame, out: str, cases: Sequence[tuple[str, Column]]) -> DataFrame:
+    """One row per case that holds, with its name in `out`; the cases are part of the plan, so nothing is shuffled or broadcast."""
+    held = F.filter(F.array(*[F.when(condition, F.lit(name)) for name, condition in cases]), lambda name: name.isNotNull())
+    return df.select("*", F.explode(held).alias(out))

@@ -6,6 +6,7 @@ import asyncio
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 
 from rillworks.functions import exprs
 from rillworks.operators import joins
-from rillworks.operators.author import AsyncOneInputOperator, AsyncSink, KeyContext, OneInputOperator, SourceOperator, TwoInputOperator
+from rillworks.operators.author import AsyncOneInputOperator, KeyContext, OneInputOperator, SourceOperator, TwoInputOperator
+from rillworks.operators.sinks import ParquetSink, UpsertSink
 from rillworks.plans import pipelines
-from rillworks.sources import connector, synthetic
+from rillworks.sources import connector, synthetic, zarr
 from rillworks.stream import Stream, source
 from rillworks.streaming import run as live
 
@@ -229,12 +231,13 @@ def flat_map_expand(spark, d):
 
 # joins
 
-_SIDES = "(SELECT * FROM orders WHERE o_orderkey % 3 > 0) o {how} JOIN (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 4 > 0) c ON o.o_custkey = c.c_custkey"
+#: Whole tables; customers are moved by 37 numbers, so that both sides have rows without a partner.
+_SIDES = "orders o {how} JOIN (SELECT c_custkey + 37 AS c_custkey, c_name FROM customer) c ON o.o_custkey = c.c_custkey"
 
 
 def _sides(spark, d) -> tuple[Stream, Stream]:
-    orders = at(spark, d, "orders").filter(F.col("o_orderkey") % 3 > 0).select("o_orderkey", "o_custkey", "o_totalprice")
-    customers = at(spark, d, "customer").filter(F.col("c_custkey") % 4 > 0).select("c_custkey", "c_name")
+    orders = at(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    customers = at(spark, d, "customer").select("c_custkey", "c_name").with_column("c_custkey", F.col("c_custkey") + 37)
     return orders, customers
 
 
@@ -252,19 +255,19 @@ def _join(how: str) -> None:
 for _how in ("inner", "left", "right", "outer"):
     _join(_how)
 
-_NULL_SIDE = "(SELECT nullif({k} % 7, 0) AS k, count(*) AS {n} FROM {t} {where} GROUP BY 1)"
+_NULL_SIDE = "(SELECT nullif({k} % 7, 0) + {more} AS k, count(*) AS {n} FROM {t} GROUP BY 1)"
 
 
 def _null_join(how: str) -> None:
     def run(spark, d):
-        side = lambda t, k, n: at(spark, d, t).with_column("k", F.nullif(F.col(k) % 7, F.lit(0))).count_by("k", n)
-        a, b = side("orders", "o_custkey", "a"), side("customer", "c_custkey", "b")
-        return a.filter(F.coalesce(F.col("k"), F.lit(0)) != 2).join(b.filter(F.coalesce(F.col("k"), F.lit(0)) != 3), on="k", how=how).df
+        key = lambda k, more: F.nullif(F.col(k) % 7, F.lit(0)) + more
+        side = lambda t, k, n, more: at(spark, d, t).with_column("k", key(k, more)).count_by("k", n)
+        return side("orders", "o_custkey", "a", 0).join(side("customer", "c_custkey", "b", 2), on="k", how=how).df
 
     run.__name__ = f"join_null_safe_{how}"
     sql = {"inner": "INNER", "left": "LEFT", "right": "RIGHT", "outer": "FULL"}[how]
-    a = _NULL_SIDE.format(k="o_custkey", n="a", t="orders", where="WHERE o_custkey % 7 <> 2")
-    b = _NULL_SIDE.format(k="c_custkey", n="b", t="customer", where="WHERE c_custkey % 7 <> 3")
+    a = _NULL_SIDE.format(k="o_custkey", n="a", t="orders", more=0)
+    b = _NULL_SIDE.format(k="c_custkey", n="b", t="customer", more=2)
     query(f"SELECT coalesce(x.k, y.k) AS k, a, b FROM {a} x {sql} JOIN {b} y ON x.k IS NOT DISTINCT FROM y.k")(run)
 
 
@@ -317,13 +320,23 @@ def join_typed_mismatch(spark, d):
     return at(spark, d, "nation").select("n_nationkey", "n_name").join(region, left_on="n_nationkey", right_on="flag").df
 
 
+@query(
+    "SELECT CAST(coalesce(s_nationkey, c_custkey) AS INTEGER) AS s_nationkey, s_suppkey, c_name FROM supplier"
+    " FULL JOIN customer ON s_nationkey = c_custkey"
+)
+def join_outer_key_range(spark, d):
+    """A 32-bit left key that takes unmatched 64-bit right keys; one it can't hold would fail."""
+    customers = at(spark, d, "customer").select("c_custkey", "c_name")
+    return at(spark, d, "supplier").select("s_nationkey", "s_suppkey").join(customers, left_on="s_nationkey", right_on="c_custkey", how="outer").df
+
+
 # unions
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0")
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, o_orderstatus FROM orders")
 def union_all(spark, d):
     rows = at(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    return rows.filter(F.col("o_orderstatus") == "O").union(rows.filter(F.col("o_orderkey") % 2 == 0)).df
+    return rows.filter(F.col("o_orderstatus") == "O").union(rows).df
 
 
 @query("SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT s_name FROM supplier")
@@ -352,7 +365,7 @@ _ZONAL_SQL = (
 def zonal_vector(spark, d):
     bands = spark.createDataFrame(_BANDS, "band string, lo double, hi double")
     rows = at(spark, d, "customer").select("c_acctbal")
-    tagged = rows.map(lambda df: joins.range_join(df, bands, F.col("c_acctbal").between(F.col("lo"), F.col("hi"))))
+    tagged = rows.map(lambda df: joins.interval_join(df, bands, "c_acctbal", "lo", "hi", 500.0))
     return tagged.keyed_mean("band", "c_acctbal").with_column("mean", F.round("mean", 6)).df
 
 
@@ -404,9 +417,27 @@ def image_embed(spark, d):
     return at(spark, d, "embeddings").map(lambda df: df.select("vec_id", pooled.alias("pooled"))).df
 
 
+@query(_ZONAL_SQL)
+def zonal_vector_tags(spark, d):
+    cases = [(name, F.col("c_acctbal").between(lo, hi)) for name, lo, hi in _BANDS]
+    tagged = at(spark, d, "customer").select("c_acctbal").map(lambda df: joins.tags(df, "band", cases))
+    return tagged.keyed_mean("band", "c_acctbal").with_column("mean", F.round("mean", 6)).df
+
+
 # authored operators
 
 
+@query("SELECT * FROM lineitem WHERE l_quantity > 30 AND l_returnflag = 'R'")
+def filter_arrow(spark, d):
+    return at(spark, d, "lineitem").filter_arrow(lambda b: pc.and_(pc.greater(b["l_quantity"], 30.0), pc.equal(b["l_returnflag"], "R"))).df
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal * 2 AS s_acctbal, s_nationkey + 1 AS next FROM supplier")
+def with_column_arrow(spark, d):
+    doubled = at(spark, d, "supplier").with_column_arrow("s_acctbal", lambda b: pc.multiply(b["s_acctbal"], 2.0))
+    return doubled.with_column_arrow("next", lambda b: pc.add(b["s_nationkey"], pa.scalar(1, pa.int32())), "int").df
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders")
 def map_async(spark, d):
     async def same(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -423,8 +454,10 @@ class CountAndSum(OneInputOperator):
         self.ctx = ctx
 
     def process(self, batch, out):
-        pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-        self.ctx.reduce_all("totals", ((k, (1, v)) for k, v in pairs), lambda a, b: (a[0] + b[0], a[1] + b[1]))
+        rows = pa.table({"k": batch.column(0), "v": batch.column(1).cast(pa.int64())}).group_by("k").aggregate([("v", "count"), ("v", "sum")])
+        pairs = zip(*(rows.column(c).to_pylist() for c in ("k", "v_count", "v_sum")))
+        self.ctx.reduce_all("totals", ((k, (n, v)) for k, n, v in pairs), lambda a, b: (a[0] + b[0], a[1] + b[1]))
+        self.ctx.metrics.incr("rows", batch.num_rows)
 
     def on_eos(self, out):
         rows = [(k.key, n, total) for k, (n, total) in self.ctx.entries("totals")]
@@ -526,26 +559,10 @@ def chunk_source(spark, d):
     return connector.chunks(spark, list(range(12)), read, "chunk long, v long", 4)
 
 
-class FileSink(AsyncSink):
-    """One Parquet file per batch, named by its first key, so that a retry overwrites."""
-
-    def __init__(self, path: str):
-        self.path = path
-
-    async def write(self, batch):
-        import pyarrow.fs as pafs
-        import pyarrow.parquet as pq
-
-        if batch.num_rows:
-            fs, base = pafs.FileSystem.from_uri(self.path)
-            await asyncio.to_thread(fs.create_dir, base)
-            await asyncio.to_thread(pq.write_table, pa.Table.from_batches([batch]), f"{base}/{batch.column(0)[0].as_py()}.parquet", filesystem=fs)
-
-
 @query("SELECT p_partkey, p_size FROM part")
 def sink_roundtrip(spark, d):
     path = f"{_uri(live.checkpoint_path(spark))}/sink-{uuid.uuid4().hex}"
-    at(spark, d, "part").select("p_partkey", "p_size").sink(lambda: FileSink(path)).run()
+    at(spark, d, "part").select("p_partkey", "p_size").sink(lambda: ParquetSink(path)).run()
     return spark.read.parquet(path)
 
 
@@ -580,11 +597,86 @@ def synthetic_grid(spark, d):
     return source(synthetic.grid(spark, 2, 6, 10)).count_by("gid").df
 
 
-@query()
+def _draw(seed: int) -> str:
+    """The generated inputs' hash of i, in SQL."""
+    a, b, c = synthetic.MIX
+    x = f"((i * {a} + {seed * c % (1 << 32)}) % 4294967296)"
+    y = f"((xor({x}, {x} >> 15) * {b}) % 4294967296)"
+    return f"(xor({y}, {y} >> 13) / CAST(4294967296 AS DOUBLE))"
+
+
+_ZIPF = ", ".join(f"({i}, '{s!r}'::DOUBLE, {o})" for i, (s, o) in enumerate(zip(*synthetic.zipf_table(100, 1.5))))
+
+
+@query(
+    f"WITH drawn AS (SELECT {_draw(7)} * 100 AS x FROM range(50000) t(i)), zipf(slot, share, other) AS (VALUES {_ZIPF})"
+    " SELECT CASE WHEN x - floor(x) < share THEN slot ELSE other END::BIGINT AS key, count(*) AS count FROM drawn JOIN zipf ON floor(x) = slot GROUP BY 1"
+)
 def skew_count(spark, d):
+    """The published skewed load: zipf keys of exponent 1.5."""
     return pipelines.bench_skew(spark, 50_000, 100).df
 
 
+@query(
+    f"SELECT CASE WHEN {_draw(8)} >= 0.25 THEN i % 10 END AS key, CAST(floor({_draw(9)} * 50) + 1 AS BIGINT) AS value, i AS ts, 'xxxx' AS payload,"
+    " CAST(1 AS BIGINT) AS v0, CAST(1 AS BIGINT) AS v1 FROM range(2000) t(i)"
+)
+def synthetic_knobs(spark, d):
+    return synthetic.keyed(spark, 2000, 10, null_fraction=0.25, payload_bytes=4, extra_values=2, value_spread=50)
+
+
+@query("SELECT chr(CAST(97 + (n + i) % 3 AS INTEGER)) AS key, (n * 3 + i) % 17 + 1 AS val FROM range(20) a(n), range(3) b(i)")
+def demo_stream(spark, d):
+    return synthetic.demo_stream(spark, interval=0.01)
+
+
+@query("SELECT chr(CAST(97 + (n + i) % 3 AS INTEGER)) AS key, count(*) AS count FROM range(8) a(n), range(3) b(i) GROUP BY 1")
+def live_authored_source(spark, d):
+    ticks = Stream(connector.read_live(spark, lambda: synthetic.Ticks(0, 8)))
+    return live.available_now(ticks.count_by("key").df)
+
+
+_CUBE = np.arange(4 * 6 * 5, dtype=np.float64).reshape(4, 6, 5)
+
+
+@query("SELECT t.i AS t, x.i AS x, sum(CAST(t.i * 30 + y.i * 5 + x.i AS DOUBLE)) AS total FROM range(4) t(i), range(6) y(i), range(5) x(i) GROUP BY 1, 2")
+def zarr_slices(spark, d):
+    """A chunked array written and read selection by selection."""
+    path = f"{_uri(live.checkpoint_path(spark))}/cube"
+    zarr.write(f"{path}/v", _CUBE, (2, 4, 3))
+
+    def columns(selection, arrays):
+        rows = arrays["v"]
+        return {"t": np.full(rows.size, selection[0]), "x": np.tile(np.arange(rows.shape[1]), len(rows)), "v": rows.reshape(-1)}
+
+    rows = zarr.slices(spark, path, ["v"], [(t, half) for t in range(4) for half in (slice(0, 3), slice(3, 6))], columns, "t long, x long, v double", 2)
+    return source(rows).agg_by(("t", "x"), total=("v", "sum")).df
+
+
+@query(
+    "SELECT m.i * 2 + l.i AS mlkey, (s.i + l.i) * 30 + c.i AS gid, CAST(s.i * 60 + l.i * 30 + c.i + m.i * 1000 AS FLOAT) AS temp_f"
+    " FROM range(2) m(i), range(2) s(i), range(2) l(i), range(30) c(i) WHERE s.i + l.i < 2"
+)
+def zarr_forecasts(spark, d):
+    """Two models' stores as one left input; slices whose time isn't known are left out."""
+    path = f"{_uri(live.checkpoint_path(spark))}/models"
+    for model in range(2):
+        data = np.arange(2 * 2 * 6 * 5, dtype=np.float32).reshape(2, 2, 6, 5) + 1000 * model
+        zarr.write(f"{path}/{model}/2m_temperature", data, (1, 1, 4, 5), "zstd")
+    valid = lambda start, lead, cells: cells + (start + lead) * 30 if start + lead < 2 else None
+    return zarr.forecasts(spark, [(m, f"{path}/{m}", [0, 1]) for m in range(2)], 2, np.arange(30), valid)
+
+
+@query("SELECT 'scene ' || i AS item_id, CAST(i AS DOUBLE) / 10 AS mean_ndvi FROM range(7) t(i)")
+def upsert_sink(spark, d):
+    """A row per key, the same after it is written twice."""
+    path = f"{_uri(live.checkpoint_path(spark))}/upserts"
+    rows = spark.range(7).select(F.concat(F.lit("scene "), "id").alias("item_id"), (F.col("id") / 10).alias("mean_ndvi"))
+    for _ in range(2):
+        source(rows).sink(lambda: UpsertSink(path)).run()
+    return spark.read.schema("item_id string, mean_ndvi double").json(path)
+
+
 # streaming
 
 
@@ -612,13 +704,21 @@ def streaming_join_inner(spark, d):
     return live.available_now(orders.join(customers, left_on="o_custkey", right_on="c_custkey").df)
 
 
-@query("SELECT o_orderkey, o_custkey, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")
+@query("SELECT o_orderkey, o_custkey, c_name FROM orders LEFT JOIN (SELECT c_custkey + 37 AS c_custkey, c_name FROM customer) ON o_custkey = c_custkey")
 def streaming_join_static(spark, d):
     orders = _live(spark, d, "orders").select("o_orderkey", "o_custkey")
-    customers = at(spark, d, "customer").filter(F.col("c_custkey") % 2 == 0).select("c_custkey", "c_name")
+    _, customers = _sides(spark, d)
     return live.available_now(orders.join(customers, left_on="o_custkey", right_on="c_custkey", how="left").df)
 
 
+@query("SELECT o_orderkey, o_custkey, n AS \"Aggregate\" FROM orders JOIN (SELECT c_custkey, count(*) AS n FROM customer GROUP BY 1) ON o_custkey = c_custkey")
+def streaming_join_static_agg(spark, d):
+    """Live rows against a static aggregate: the rows append, whatever stands still beside them."""
+    orders = _live(spark, d, "orders").select("o_orderkey", "o_custkey")
+    counted = at(spark, d, "customer").count_by("c_custkey", "Aggregate")
+    return live.available_now(orders.join(counted, left_on="o_custkey", right_on="c_custkey").df)
+
+
 @query("SELECT o_orderstatus, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
 def stateful_reduce(spark, d):
     rows = _live(spark, d, "orders").select("o_orderstatus", "o_orderkey").df

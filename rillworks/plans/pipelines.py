@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rillworks import tensors
 from rillworks.functions import exprs
-from rillworks.operators.joins import range_join
+from rillworks.operators.joins import tags
 from rillworks.sources import memory, synthetic
 from rillworks.stream import Stream, source
 
@@ -23,8 +23,8 @@ def wordcount(spark: SparkSession) -> Stream:
     return source(lines).tokenize("line").count_by("word")
 
 
-def demo_stream(spark: SparkSession) -> Stream:
-    return Stream(synthetic.demo_stream(spark)).count_by("key")
+def demo_stream(spark: SparkSession, interval: float = 0.2, max_batches: int | None = 20) -> Stream:
+    return Stream(synthetic.demo_stream(spark, interval, max_batches)).count_by("key")
 
 
 def image_embed(spark: SparkSession) -> Stream:
@@ -47,7 +47,7 @@ def scene_means(spark: SparkSession, items: list[tuple[str, str, str]], read: Ca
             rows.append({"item_id": item, "ndvi_sum": float(index.sum()), "valid_count": int(valid.sum())})
         return pa.RecordBatch.from_pylist(rows, pa.schema([("item_id", pa.string()), ("ndvi_sum", pa.float64()), ("valid_count", pa.int64())]))
 
-    scenes = spark.createDataFrame(items, "item_id string, red_href string, nir_href string").repartition(min(len(items), 64))
+    scenes = spark.createDataFrame(items, "item_id string, red_href string, nir_href string").repartition(max(1, min(len(items), 64)))
     stream = source(scenes).map_async(partials, "item_id string, ndvi_sum double, valid_count long", max_in_flight=in_flight)
     return stream.weighted_mean("item_id", "ndvi_sum", "valid_count", "mean_ndvi")
 
@@ -90,6 +90,15 @@ def bench_fanout(spark: SparkSession, rows: int = 512, tokens: int = 500) -> Str
     return source(synthetic.text(spark, rows, tokens)).tokenize("line").count_by("word")
 
 
+def bench_keyed_wide(spark: SparkSession, rows: int = 200_000, keys: int = 500) -> Stream:
+    return source(synthetic.keyed(spark, rows, keys, payload_bytes=64, extra_values=8)).count_by("key")
+
+
+def bench_join_wide(spark: SparkSession, rows: int = 200_000, keys: int = 500) -> Stream:
+    wide = synthetic.join_table(spark, keys).select("*", *[(F.col("rval") + i).alias(f"r{i}") for i in range(8)])
+    return source(synthetic.join_stream(spark, rows, keys)).join(source(wide), on="key")
+
+
 def bench_skew(spark: SparkSession, rows: int = 200_000, keys: int = 500) -> Stream:
     return source(synthetic.keyed(spark, rows, keys, skew=1.5)).count_by("key")
 
@@ -127,19 +136,21 @@ def geo_climatology(spark: SparkSession, days: int = 3) -> Stream:
     return source(synthetic.grid(spark, days)).keyed_mean("gid", "value", "clim")
 
 
-def tag_regions(df: DataFrame, regions: DataFrame) -> DataFrame:
-    box = tuple(F.col(c) for c in ("lat_min", "lat_max", "lon_min", "lon_max"))
-    return range_join(df, regions, exprs.in_box(F.col("latitude"), F.col("longitude"), box)).select(*df.columns, "region")
+def tag_regions(df: DataFrame, regions: list[tuple[str, float, float, float, float]]) -> DataFrame:
+    """Rows with the name of each box that holds them."""
+    box = lambda bounds: exprs.in_box(F.col("latitude"), F.col("longitude"), tuple(map(F.lit, bounds)))
+    return tags(df, "region", [(name, box(bounds)) for name, *bounds in regions])
 
 
 def geo_zonal_vector(spark: SparkSession, days: int = 3) -> Stream:
     grid = source(synthetic.grid(spark, days, coords=True))
-    return grid.map(lambda df: tag_regions(df, synthetic.regions(spark))).keyed_mean("region", "value")
+    return grid.map(lambda df: tag_regions(df, synthetic.REGIONS)).keyed_mean("region", "value")
 
 
 def anomaly(rows: Stream, keys: tuple[str, ...], value: str) -> Stream:
     """Each row's value less the mean of its keys, by aggregating and joining back (null keys included)."""
-    mean = rows.agg_by(keys, clim=(value, "mean"))
+    # the means hold a row per key, so hashing them per partition is cheaper than sorting all rows
+    mean = rows.agg_by(keys, clim=(value, "mean")).map(lambda df: df.hint("shuffle_hash"))
     return rows.join(mean, on=keys).with_column("anomaly", F.col(value).cast("double") - F.col("clim"))
 
 
@@ -159,12 +170,14 @@ PIPELINES: dict[str, Callable[[SparkSession], Stream]] = {
     "demo-stream": demo_stream,
     "image-embed": image_embed,
     "bench-keyed": bench_keyed,
+    "bench-keyed-wide": bench_keyed_wide,
     "bench-linear": bench_linear,
     "bench-chain": bench_chain,
     "bench-fanout": bench_fanout,
     "bench-skew": bench_skew,
     "bench-backpressure": bench_backpressure,
     "bench-join": bench_join,
+    "bench-join-wide": bench_join_wide,
     "bench-async": bench_async,
     "bench-async-io": bench_async_io,
     "bench-keyed-mean": bench_keyed_mean,

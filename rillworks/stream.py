@@ -7,11 +7,14 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Accumulator
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillworks.operators import aggs, arrow, joins, reshape
 from rillworks.operators.author import AsyncOneInputOperator, AsyncSink, OneInputOperator, SourceOperator, TwoInputOperator
-from rillworks.report import RunReport, Watch
+from rillworks.report import Node, RunReport, Watch
 from rillworks.sources import connector, memory
 
 
@@ -47,11 +50,33 @@ class RunResult:
 class Stream:
     """Verbs return new streams; nothing runs before `run` or `collect`."""
 
-    def __init__(self, df: DataFrame, steps: tuple[str, ...] = ("source",), strict_keys: bool = False):
+    def __init__(self, df: DataFrame, steps: tuple[str, ...] = ("source",), strict_keys: bool = False, node: Node | None = None):
         self.df, self.steps, self.strict_keys = df, steps, strict_keys
+        self.node = node or Node(steps[-1])
 
-    def _then(self, df: DataFrame, step: str) -> Stream:
-        return Stream(df, (*self.steps, step), self.strict_keys)
+    def _then(self, df: DataFrame, step: str, *others: Stream, counts: Accumulator | None = None) -> Stream:
+        df, seen = self._observed(df) if self.node.seen is not None else (df, None)
+        node = Node(step, (self.node, *(o.node for o in others)), seen, counts)
+        return Stream(df, (*self.steps, step), self.strict_keys, node)
+
+    @staticmethod
+    def _observed(df: DataFrame) -> tuple[DataFrame, Observation | None]:
+        if df.isStreaming:
+            return df, None
+        seen = Observation()
+        return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+    def counted(self) -> Stream:
+        """From here on count the rows that leave each verb, for the report of one run.
+
+        The counts stand between verbs in the plan, so filters don't move past them.
+        """
+        df, seen = self._observed(self.df)
+        return Stream(df, self.steps, self.strict_keys, Node(self.node.step, self.node.inputs, seen, self.node.counts))
+
+    def to_graph(self) -> dict:
+        """The verbs as {"nodes": [{id, step}], "edges": [[from, to]]}, inputs first."""
+        return self.node.graph()
 
     @property
     def columns(self) -> list[str]:
@@ -76,6 +101,14 @@ class Stream:
     def filter(self, mask: Column | Callable[[DataFrame], Column]) -> Stream:
         return self._then(reshape.keep(self.df, mask), "filter")
 
+    def filter_arrow(self, mask: Callable[[pa.RecordBatch], pa.Array]) -> Stream:
+        """As `filter`, by an opaque function over Arrow batches."""
+        return self._then(arrow.keep_arrow(self.df, mask), "filter_arrow")
+
+    def with_column_arrow(self, name: str, value: Callable[[pa.RecordBatch], pa.Array], kind: str | T.DataType | None = None) -> Stream:
+        """As `with_column`, by an opaque function over Arrow batches; without a type, it is learnt from an empty batch."""
+        return self._then(arrow.with_arrow(self.df, name, value, kind), "with_column_arrow")
+
     def select(self, *columns: str) -> Stream:
         return self._then(reshape.select(self.df, columns), "select")
 
@@ -128,17 +161,18 @@ class Stream:
     ) -> Stream:
         if other is self:
             raise ValueError("join: a stream can't join itself; build the other side as a stream of its own")
-        return self._then(joins.join(self.df, other.df, on, left_on, right_on, how, self.strict_keys), f"join {how}")
+        return self._then(joins.join(self.df, other.df, on, left_on, right_on, how, self.strict_keys), f"join {how}", other)
 
     def union(self, *others: Stream) -> Stream:
         if not others:
             raise ValueError("union needs another stream")
-        return self._then(reshape.union(self.df, *[o.df for o in others]), f"union {len(others) + 1}")
+        return self._then(reshape.union(self.df, *[o.df for o in others]), f"union {len(others) + 1}", *others)
 
     def apply_two(
         self, other: Stream, make: Callable[[], TwoInputOperator], schema: arrow.Schema, *, left_keys: Sequence[str], right_keys: Sequence[str]
     ) -> Stream:
-        return self._then(arrow.apply_two(self.df, other.df, make, schema, tuple(left_keys), tuple(right_keys)), "apply_two")
+        counts = arrow.counts_of(self.df)
+        return self._then(arrow.apply_two(self.df, other.df, make, schema, tuple(left_keys), tuple(right_keys), counts), "apply_two", other, counts=counts)
 
     # authored operators
 
@@ -146,7 +180,8 @@ class Stream:
         self, make: Callable[[], OneInputOperator], schema: arrow.Schema, *, key_columns: Sequence[str] | None = None, parallelism: int | None = None
     ) -> Stream:
         keys = tuple(key_columns) if key_columns else make().key_columns()
-        return self._then(arrow.apply(self.df, make, schema, keys, parallelism), "apply")
+        counts = arrow.counts_of(self.df)
+        return self._then(arrow.apply(self.df, make, schema, keys, parallelism, counts), "apply", counts=counts)
 
     def map_async(
         self, fn: Callable, schema: arrow.Schema | None = None, *, max_in_flight: int = 8, ordered: bool = True
@@ -157,7 +192,8 @@ class Stream:
         self, make: Callable[[], AsyncOneInputOperator], schema: arrow.Schema, *, key_columns: Sequence[str] | None = None, parallelism: int | None = None
     ) -> Stream:
         keys = tuple(key_columns) if key_columns else make().key_columns()
-        return self._then(arrow.apply_async(self.df, make, schema, keys, parallelism), "apply_async")
+        counts = arrow.counts_of(self.df)
+        return self._then(arrow.apply_async(self.df, make, schema, keys, parallelism, counts), "apply_async", counts=counts)
 
     def sink(self, make: Callable[[], AsyncSink], *, key_columns: Sequence[str] | None = None) -> SinkHandle:
         return SinkHandle(self, make, tuple(key_columns) if key_columns else make().key_columns())
@@ -180,11 +216,17 @@ class Stream:
                 table = available_now(self.df).toArrow()
                 report = RunReport(list(self.steps), table.num_rows, time.perf_counter() - began)
                 return RunResult(table, report)
-            watch = Watch(self.df, self.steps)
+            watch = Watch(self.df, self.node, self.steps)
             return RunResult(watch.df.toArrow(), watch.done())
         finally:
             spark.conf.set(name, before)
 
+    def profile(self) -> RunReport:
+        """Run for the report alone; no row leaves the executors."""
+        watch = Watch(self.df, self.node, self.steps, plan=False)
+        watch.df.write.format("noop").mode("overwrite").save()
+        return watch.done()
+
     async def run_async(self, **options: int | None) -> RunResult:
         import asyncio
 
@@ -213,7 +255,7 @@ class SinkHandle:
             )
             query.awaitTermination()
             return RunResult(pa.table({}), RunReport([*self.stream.steps, "sink"]))
-        watch = Watch(df, (*self.stream.steps, "sink"))
+        watch = Watch(df, self.stream.node, (*self.stream.steps, "sink"), plan=False)
         arrow.write_async(watch.df, self.make, self.keys, wanted)
         return RunResult(pa.table({}), watch.done())
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,14 +20,39 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType | str, form
 
 
 def checkpoint_path(spark: SparkSession) -> str:
-    """A folder of its own for a query, in the shared checkpoint folder where the cluster names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/queries/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="rillworks-query-")
-
-
-def _aggregates(df: DataFrame) -> bool:
-    plan = df._jdf.queryExecution().analyzed().toString()
-    return "Aggregate" in plan
+    """A folder of its own for a query: in the shared checkpoint folder, or in the warehouse where the cluster names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/rillworks-checkpoint"
+    return f"{base.rstrip('/')}/queries/{uuid.uuid4().hex}"
+
+
+def _live_nodes(df: DataFrame) -> set[str]:
+    """The kinds of plan nodes that live rows pass through; what is static stands still."""
+    found, waiting = set(), [df._jdf.queryExecution().analyzed()]
+    while waiting:
+        node = waiting.pop()
+        if node.isStreaming():
+            found.add(node.getClass().getSimpleName())
+            children = node.children()
+            waiting += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+@contextmanager
+def _state_store(df: DataFrame) -> Iterator[None]:
+    """While a query with custom state runs, state lives in RocksDB, which such state needs."""
+    conf, name = df.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    if not any("TransformWithState" in kind for kind in _live_nodes(df)):
+        yield
+        return
+    before = conf.get(name, None)
+    conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            conf.unset(name)
+        else:
+            conf.set(name, before)
 
 
 def available_now(df: DataFrame, mode: str | None = None) -> DataFrame:
@@ -38,13 +63,14 @@ def available_now(df: DataFrame, mode: str | None = None) -> DataFrame:
     way the answer is files in the checkpoint folder; none of it passes the driver.
     """
     spark, path = df.sparkSession, checkpoint_path(df.sparkSession)
-    mode = mode or ("complete" if _aggregates(df) else "append")
+    mode = mode or ("complete" if "Aggregate" in _live_nodes(df) else "append")
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/check").trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").start(f"{path}/out")
-    else:
-        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out")).start()
-    query.awaitTermination()
+    with _state_store(df):
+        if mode == "append":
+            query = writer.format("parquet").start(f"{path}/out")
+        else:
+            query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out")).start()
+        query.awaitTermination()
     jvm = spark.sparkContext._jvm
     out = jvm.org.apache.hadoop.fs.Path(f"{path}/out")
     if not out.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(out):  # no micro-batch ran
@@ -84,7 +110,7 @@ def windowed_count(df: DataFrame, ts: str, key: str, size: str, late: str, slide
 def reduce_by_key(df: DataFrame, key: str, value: str, fold: Callable[[object, object], object]) -> DataFrame:
     """A reducing state per key over a live frame: (key, value) with the fold so far, in update mode.
 
-    State lives in the RocksDB provider.  The last row of a key is its answer.
+    State needs the RocksDB provider, which `last_per_key` sets while it runs.  The last row of a key is its answer.
     """
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -109,20 +135,24 @@ def reduce_by_key(df: DataFrame, key: str, value: str, fold: Callable[[object, o
 
         def close(self) -> None: ...
 
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     schema = T.StructType([T.StructField(key, kind), T.StructField(value, out)])
     return df.select(key, value).groupBy(key).transformWithStateInPandas(Fold(), schema, "Update", "None")
 
 
 def last_per_key(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
-    """Run `reduce_by_key` output over all available input and keep each key's last row."""
+    """Run `reduce_by_key` output over all available input and keep each key's last row.
+
+    A micro-batch has a folder of its own, which it overwrites if it runs again.
+    """
     path = checkpoint_path(spark)
 
     def put(batch: DataFrame, at: int) -> None:
-        batch.withColumn("__at", F.lit(at)).write.mode("append").parquet(f"{path}/out")
+        batch.write.mode("overwrite").parquet(f"{path}/out/__at={at}")
 
-    query = df.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start()
-    query.awaitTermination()
+    with _state_store(df):
+        query = df.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
     values = [c for c in df.columns if c != key]
-    rows = spark.read.parquet(f"{path}/out")
+    schema = T.StructType([*df.schema.fields, T.StructField("__at", T.IntegerType())])
+    rows = spark.read.schema(schema).option("basePath", f"{path}/out").parquet(f"{path}/out")
     return rows.groupBy(key).agg(*[F.max_by(F.col(c), F.col("__at")).alias(c) for c in values])

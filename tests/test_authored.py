@@ -8,13 +8,14 @@ import time
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tests.conftest import multiset
 
 from rillworks import run, source, tensors
 from rillworks.cli import main
-from rillworks.measure import Timing, regressed
+from rillworks.measure import Timing, chance_of_ranks, regressed
 from rillworks.operators.author import (
     AsyncOneInputOperator,
     AsyncSink,
@@ -22,11 +23,14 @@ from rillworks.operators.author import (
     KeyContext,
     OneInputOperator,
     OperatorContext,
+    SourceOperator,
     StateAccessError,
+    TwoInputOperator,
 )
+from rillworks.operators.sinks import UpsertSink
 from rillworks.plans import catalogue, pipelines
 from rillworks.report import value_hash
-from rillworks.sources import synthetic
+from rillworks.sources import connector, synthetic, zarr
 
 
 def ids(spark, n=100, parts=4):
@@ -60,6 +64,13 @@ def test_operator_keeps_keys_together(spark):
         assert multiset((r["k"], r["t"]) for r in got) == multiset((k, sum(range(k, 1000, 7))) for k in range(7))
 
 
+def test_upserts_keep_the_last_row(spark, tmp_path):
+    for value in (1, 2):
+        rows = spark.createDataFrame([("a/b", value), ("c", value)], "item_id string, v int")
+        source(rows).sink(lambda: UpsertSink(str(tmp_path))).run()
+    assert {f.name: json.loads(f.read_text())["v"] for f in tmp_path.iterdir()} == {"a%2Fb.json": 2, "c.json": 2}
+
+
 def test_context_state():
     ctx = OperatorContext()
     state = ctx.reducing_state("s", KeyContext("a"), lambda x, y: x + y)
@@ -148,6 +159,7 @@ def test_apply_async(spark):
     assert len(ids(spark).apply_async(Echo, "id long").collect()) == 100
     with pytest.raises(Exception, match="Timeout"):
         ids(spark).apply_async(Slow, "id long").run()
+    assert len(ids(spark).apply_async(Echo, "id long", key_columns=["id"]).collect()) == 100
     with pytest.raises(Exception, match=StateAccessError.__name__):
         ids(spark).apply_async(Touches, "id long").run()
     with pytest.raises(ValueError):
@@ -217,10 +229,10 @@ def test_scene_means_with_an_injected_reader(spark):
     assert np.isnan(got["b"]["mean_ndvi"])
 
 
-SMALL_SIZES = {"bench-fanout": {"rows": 8, "tokens": 20}, "bench-backpressure": {"rows": 100, "micros": 10}, "bench-async-io": {"rows": 100}}
+SMALL_SIZES = {"demo-stream": {"interval": 0.0}, "bench-fanout": {"rows": 8, "tokens": 20}, "bench-backpressure": {"rows": 100, "micros": 10}, "bench-async-io": {"rows": 100}}
 
 
-@pytest.mark.parametrize("name", [n for n in pipelines.PIPELINES if n != "demo-stream"])
+@pytest.mark.parametrize("name", list(pipelines.PIPELINES))
 def test_every_pipeline_runs(spark, name):
     options = SMALL_SIZES.get(name) or ({"days": 1} if "geo" in name else {"rows": 1000} if name.startswith("bench") else {})
     df = pipelines.PIPELINES[name](spark, **options).df
@@ -256,10 +268,151 @@ def test_command_line(spark, capsys):
         main(["run", "nothing"])
 
 
-def test_timings():
-    old, new = Timing("a", (1.0, 1.01, 0.99, 1.0), 100), Timing("a", (1.3, 1.3, 1.3, 1.3), 100)
-    assert regressed(new, old) and not regressed(old, old)
+def test_timings(tmp_path, capsys):
+    of = lambda *seconds: Timing("a", seconds, 100)
+    old = of(1.0, 1.01, 0.99, 1.0)
+    assert regressed(of(1.3, 1.3, 1.3, 1.3), old) and not regressed(old, old)
+    assert not regressed(of(1.02, 1.03, 1.02, 1.03), old)  # slower for sure, but by nothing
+    assert not regressed(of(0.9, 1.3, 0.9, 1.3), old)  # slower by much, but by chance
+    assert chance_of_ranks((3.0, 4.0), (1.0, 2.0)) == 1 / 6 and chance_of_ranks((1.0,), (1.0,)) == 1
+    assert chance_of_ranks(tuple(range(20, 40)), tuple(range(20))) < 1e-6 < 0.4 < chance_of_ranks(tuple(range(20)), tuple(range(20)))
     assert old.rows_per_second == 100
+    for name, seconds in (("old", old.seconds), ("new", (1.3, 1.3, 1.3, 1.3))):
+        (tmp_path / name).write_text(json.dumps({"a": seconds, name: seconds}))
+    assert main(["bench-check", str(tmp_path / "old"), str(tmp_path / "new")]) == 1
+    assert main(["bench-check", str(tmp_path / "old"), str(tmp_path / "old")]) == 0
+    assert "slower" in capsys.readouterr().out
+    assert main(["catalog"]) == 0 and "wordcount\tSQL" in capsys.readouterr().out
+
+
+def test_verbs_operators_and_counters_in_the_report(spark):
+    class Evens(OneInputOperator):
+        def open(self, ctx):
+            self.ctx = ctx
+
+        def process(self, batch, out):
+            self.ctx.metrics.incr("seen", batch.num_rows)
+            out.emit(batch.filter(pa.array([v % 2 == 0 for v in batch.column(0).to_pylist()])))
+
+    left = ids(spark).counted().filter(F.col("id") < 60).apply(Evens, "id long")
+    stream = left.union(ids(spark, 10).counted()).map(lambda df: df.select((F.col("id") % 3).alias("k"))).count_by("k")
+    assert stream.to_graph() == {
+        "nodes": [{"id": i, "step": s} for i, s in enumerate(["source", "filter", "apply", "source", "union 2", "map", "count_by k"])],
+        "edges": [[0, 1], [1, 2], [2, 4], [3, 4], [4, 5], [5, 6]],
+    }
+    result = stream.run()
+    rows = {v["step"]: (v["rows_in"], v["rows_out"]) for v in result.report.verbs}
+    assert rows["filter"] == (100, 60) and rows["apply"] == (60, 30) and rows["union 2"] == (40, 40) and rows["count_by k"] == (40, 3)
+    assert result.report.metrics == {"Evens.seen": 60}
+    assert [x["rows_out"] for x in result.report.operator("HashAggregate")][-1] == 3
+    assert "| filter | 100 | 60 |" in result.report.to_markdown()
+    plain = ids(spark).filter(F.col("id") < 60).run()
+    assert plain.report.verbs == [] and plain.report.operator("Filter") + plain.report.operator("Range")
+    assert ids(spark).apply(Evens, "id long").profile().metrics == {"Evens.seen": 100}
+
+
+def test_two_inputs_pass_through_in_batches(spark):
+    class Sizes(TwoInputOperator):
+        def open(self, ctx):
+            self.ctx, self.rows, self.batches, self.right = ctx, [0, 0], 0, False
+
+        def process_left(self, batch, out):
+            assert not self.right and batch.schema.names == ["k", "v"]
+            self.key, self.rows[0], self.batches = batch.column(0)[0].as_py(), self.rows[0] + batch.num_rows, self.batches + 1
+            assert len({repr(k) for k in batch.column(0).to_pylist()}) == 1
+
+        def process_right(self, batch, out):
+            self.key, self.rows[1], self.right = batch.column(0)[0].as_py(), self.rows[1] + batch.num_rows, True
+
+        def on_eos(self, out):
+            self.ctx.metrics.incr("keys")
+            out.emit(pa.RecordBatch.from_pylist([{"k": self.key, "a": self.rows[0], "b": self.rows[1], "n": self.batches}], pa.schema([("k", pa.float64()), *((c, pa.int64()) for c in "abn")])))
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        hot = spark.range(1000).select(F.when(F.col("id") % 5 == 0, F.lit(None)).when(F.col("id") % 5 == 1, float("nan")).otherwise(F.lit(7.0)).alias("k"), F.col("id").alias("v"))
+        few = spark.createDataFrame([(7.0, 1), (8.0, 1), (None, 2), (8.0, 3)], "k double, w long")
+        result = source(hot).apply_two(source(few), Sizes, "k double, a long, b long, n long", left_keys=["k"], right_keys=["k"]).run()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {repr(r["k"]): (r["a"], r["b"]) for r in result.to_pylist()}
+    assert got == {"None": (200, 1), "nan": (200, 0), "7.0": (600, 1), "8.0": (0, 2)}
+    assert max(r["n"] for r in result.to_pylist()) > 5  # the hot key came in many batches
+    assert result.report.metrics == {"Sizes.keys": 4}
+
+
+def test_arrow_masks_and_columns(spark):
+    rows = source(pa.table({"a": [1, None, 3], "b": ["x", "y", "z"]}), spark)
+    assert [r["b"] for r in rows.filter_arrow(lambda b: pc.greater(b["a"], 1)).collect()] == ["z"]
+    made = rows.with_column_arrow("a", lambda b: pc.cast(b["a"], pa.string())).with_column_arrow("c", lambda b: pc.utf8_upper(b["b"]))
+    assert made.df.dtypes == [("a", "string"), ("b", "string"), ("c", "string")]
+    assert [r["c"] for r in made.collect()] == ["X", "Y", "Z"]
+
+
+def test_chunks_wait_in_a_window(spark):
+    async def read(i):
+        running = read.__dict__
+        running["now"] = running.get("now", 0) + 1
+        running["most"] = max(running.get("most", 0), running["now"])
+        await asyncio.sleep(0.001)
+        running["now"] -= 1
+        return pa.table({"i": [i], "most": [running["most"]]})
+
+    got = connector.chunks(spark, list(range(40)), read, "i long, most long", 3, partitions=2).collect()
+    assert sorted(r.i for r in got) == list(range(40)) and max(r.most for r in got) <= 3
+    assert connector.chunks(spark, [], read, "i long, most long").count() == 0
+
+
+def test_splits_travel_to_their_tasks(spark):
+    class Moody(SourceOperator):
+        schema = "i long"
+
+        def partitions(self):
+            import random
+
+            return random.sample(range(100), 10)
+
+        def batches(self, partition):
+            yield pa.RecordBatch.from_pydict({"i": [partition]})
+
+    assert len({r["i"] for r in source(Moody, spark).collect()}) == 10
+
+
+def test_zarr_arrays(spark, tmp_path):
+    data = np.arange(7 * 5 * 4, dtype=np.float32).reshape(7, 5, 4)
+    for packing in (None, "zlib", "gzip", "zstd"):
+        zarr.write(str(tmp_path / f"{packing}" / "v"), data, (3, 2, 4), packing)
+        array = zarr.ZarrArray(str(tmp_path / f"{packing}" / "v"))
+        for selection in ((), (2,), (slice(1, 6), 3), (-1, slice(None), slice(1, 3)), (slice(4, 4),)):
+            assert (array.read(selection) == data[selection]).all() and array.read(selection).shape == data[selection].shape
+    (tmp_path / "zlib" / "v" / "0.0.0").unlink()
+    assert (zarr.ZarrArray(str(tmp_path / "zlib" / "v")).read()[:3, :2] == 0).all()
+    with pytest.raises(IndexError):
+        array.read((7,))
+    with pytest.raises(ValueError):
+        array.read((slice(0, 4, 2),))
+    columns = lambda i, a: {"i": np.full(a.size, i), "v": a.reshape(-1)}
+    named = spark.range(7).select(F.col("id").alias("chunk_idx"))
+    got = zarr.read_chunks(named, str(tmp_path / "zstd"), "v", columns, "i long, v float").collect()
+    assert multiset((r.i, r.v) for r in got) == multiset((i, float(v)) for i in range(7) for v in data[i].reshape(-1))
+
+
+def test_zipf_table_is_the_law():
+    for keys, skew in ((1, 1.5), (7, 0.5), (500, 1.5), (5000, 1.1)):
+        share, other = synthetic.zipf_table(keys, skew)
+        mass = np.zeros(keys)
+        for i, (s, o) in enumerate(zip(share, other)):
+            mass[i] += s
+            mass[o] += 1 - s
+        law = np.arange(1, keys + 1) ** -skew
+        assert np.allclose(mass / keys, law / law.sum())
+
+
+def test_large_zipf_tables_are_joined(spark):
+    few, many = (synthetic.keyed(spark, 3000, 5000, skew=1.2) for _ in range(2))
+    assert many.where("key = 0").count() > 300 and few.count() == 3000
+    small = synthetic.keyed(spark, 3000, 400, skew=1.2).select("key").collect()
+    assert small == synthetic.keyed(spark, 3000, 400, skew=1.2, partitions=7).select("key").collect()
 
 
 def test_collector_drains():

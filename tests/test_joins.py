@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.conftest import multiset
 
 from rillworks import source
-from rillworks.operators.joins import bucket_join, range_join
+from rillworks.operators.joins import bucket_join, interval_join, range_join, tags
 
 HOWS = ("inner", "left", "right", "outer")
 
@@ -119,5 +119,23 @@ def test_range_joins_agree_and_check_their_side(spark):
     bucketed = bucket_join(points, ranges, "x", "lo", "hi", 7.0)
     for got in (plain, bucketed):
         assert multiset((r.id, r.name) for r in got.collect()) == want
-    with pytest.raises(ValueError):
-        range_join(points, ranges, F.lit(True), rows=2)
+    wide = ranges.union(spark.createDataFrame([("d", -1e12, 1e12), ("e", 5.0, 5.0), ("f", 9.0, 8.0)], ranges.schema))
+    more = want + multiset((i, "d") for i in range(100)) + multiset([(5, "e")])
+    for got in (bucket_join(points, wide, "x", "lo", "hi", 0.5), interval_join(points, wide, "x", "lo", "hi", 7.0), interval_join(points, wide, "x", "lo", "hi", 7.0, rows=2)):
+        assert got.columns == ["id", "x", "name", "lo", "hi"] and multiset((r.id, r.name) for r in got.collect()) == more
+    tagged = tags(points, "name", [(n, F.col("x").between(lo, hi)) for n, lo, hi in (("a", 3, 17), ("b", 10, 30), ("c", 95, 200))])
+    assert multiset((r.id, r.name) for r in tagged.collect()) == want
+    for bound in ({"rows": 2}, {"size": 50}):
+        with pytest.raises(ValueError):
+            range_join(points, ranges, F.lit(True), **bound)
+
+
+@pytest.mark.parametrize("how", ("right", "outer"))
+def test_a_key_the_left_type_cannot_hold_fails(spark, how):
+    left = side(spark, [(1, "a")], "k", "l", types=(pa.int32(), pa.string()))
+    fits, too_large = side(spark, [(2**31 - 1, "x"), (None, "n")], "k", "r"), side(spark, [(2**40, "x")], "k", "r")
+    got = left.join(fits, on="k", how=how)
+    assert got.df.dtypes[0] == ("k", "int") and (2**31 - 1, None, "x") in tuples(got) and (None, None, "n") in tuples(got)
+    with pytest.raises(Exception, match="can't hold 1099511627776"):
+        left.join(too_large, on="k", how=how).run()
+    assert tuples(left.join(too_large, on="k", how="left")) == [(1, "a", None)]
