@@ -135,5 +135,5 @@ def interval_join(
 
 def tags(df: DataFrame, out: str, cases: Sequence[tuple[str, Column]]) -> DataFrame:
     """One row per case that holds, with its name in `out`; the cases are part of the plan, so nothing is shuffled or broadcast."""
-    held = F.filter(F.array(*[F.when(condition, F.lit(name)) for name, condition in cases]), lambda name: name.isNotNull())
-    return df.select("*", F.explode(held).alias(out))
+    held = F.array(*[F.when(condition, F.lit(name)) for name, condition in cases])
+    return df.select("*", F.explode(held).alias(out)).where(quoted(out).isNotNull())

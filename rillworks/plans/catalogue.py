@@ -50,17 +50,17 @@ _WORDS = "SELECT unnest(regexp_split_to_array(TEXT, '[\\t-\\r\\x1c-\\x20" + _SPA
 
 @query(f"SELECT word, count(*) AS count FROM ({_WORDS.replace('TEXT', 'lower(text)')}) WHERE word <> '' GROUP BY word")
 def wordcount(spark, d):
-    return at(spark, d, "documents").tokenize("text").count_by("word").df
+    return at(spark, d, "documents").select("text").spread().tokenize("text").count_by("word").df
 
 
 @query(f"SELECT word, count(*) AS count FROM ({_WORDS.replace('TEXT', 'text')}) WHERE word <> '' GROUP BY word")
 def tokenize_case(spark, d):
-    return at(spark, d, "documents").tokenize("text", lowercase=False).count_by("word").df
+    return at(spark, d, "documents").select("text").spread().tokenize("text", lowercase=False).count_by("word").df
 
 
 @query(f"SELECT word FROM ({_WORDS.replace('TEXT', 'lower(text)')}) WHERE word <> ''")
 def tokenize(spark, d):
-    return at(spark, d, "documents").tokenize("text").df
+    return at(spark, d, "documents").select("text").spread().tokenize("text").df
 
 
 @query("SELECT l_returnflag, count(*) AS count FROM lineitem GROUP BY 1")

@@ -66,8 +66,9 @@ def _zipf(rows: DataFrame, keys: int, skew: float, seed: int) -> DataFrame:
     at = uniform(F.col("id"), seed) * float(keys)
     slot = F.floor(at).cast("int")
     pick = lambda s, o: F.when(at - F.floor(at) < s, slot).otherwise(o).cast("long").alias("key")
-    if keys <= TABLE_KEYS:
-        return rows.select("*", pick(F.get(F.lit(share), slot), F.get(F.lit(other), slot)))
+    if keys <= TABLE_KEYS:  # constants that the optimizer folds to one array each
+        array = lambda values, kind: F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+        return rows.select("*", pick(F.get(array(share, "double"), slot), F.get(array(other, "int"), slot)))
     table = rows.sparkSession.createDataFrame(list(zip(range(keys), share, other)), "slot int, share double, other int")
     return rows.withColumn("slot", slot).join(table, "slot").select("id", pick(F.col("share"), F.col("other")))
 

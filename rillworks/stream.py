@@ -134,6 +134,17 @@ class Stream:
         """Spread rows evenly over partitions."""
         return self._then(self.df.repartition(parallelism) if parallelism else self.df.hint("rebalance"), "rebalance")
 
+    def spread(self, most_bytes: int = 1 << 30) -> Stream:
+        """Deal a small input of few files to all cores: one row group is one task, whatever follows it.
+
+        Larger inputs, and those of as many files as cores, stay as they are.
+        """
+        cores = self.df.sparkSession.sparkContext.defaultParallelism
+        if self.df.isStreaming or len(self.df.inputFiles()) >= cores:
+            return self
+        size = int(self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        return self._then(self.df.repartition(cores), "spread") if size <= most_bytes else self
+
     # keyed verbs
 
     def count_by(self, key: str, count: str = "count") -> Stream:
