@@ -15,6 +15,9 @@ Defined cases
   are null, all are responses, and a null page_id is below every other;
 * null url: no WARC-Target-URI; line breaks in a url are percent-encoded;
 * an empty table gives an empty archive; other columns are ignored.
+
+Pages carry no time or HTTP header, so every record has the date DATE and a plain header of status,
+type and length.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "urn:rillworks:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -30,15 +34,9 @@ CRLF = "\r\n"
 
 
 def base32(hex_digest: Column) -> Column:
-    """Upper-case base32 of a hex string of 5n digits (20 bits: four letters at a time)."""
-
-    def letters(i: Column) -> Column:
-        bits = F.conv(F.substring(hex_digest, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        letter = lambda shift: F.substring(F.lit(BASE32), F.shiftright(bits, shift).bitwiseAND(31) + 1, F.lit(1))
-        return F.concat(letter(15), letter(10), letter(5), letter(0))
-
-    groups = F.floor(F.length(hex_digest) / 5).cast("int")
-    return F.array_join(F.transform(F.sequence(F.lit(0), groups - 1), letters), "")
+    """Upper-case base32 of a hex string of 40 digits: 60, 60 and 40 bits become numbers to the base 32, whose digits are renamed."""
+    part = lambda at, digits: F.lpad(F.conv(F.substring(hex_digest, at, digits), 16, 32), digits * 4 // 5, "0")
+    return F.translate(F.concat(part(1, 15), part(16, 15), part(31, 10)), DIGITS, BASE32)
 
 
 def _digests(payload: Column) -> list[Column]:
