@@ -16,13 +16,13 @@ Defined cases
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
 import sys
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -76,11 +76,11 @@ class Encoder:
     tokenizer whole.
     """
 
-    def __init__(self, path: str, cached: int = CACHED_WORDS):
+    def __init__(self, file: bytes, cached: int = CACHED_WORDS):
         quiet_threads()
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_buffer(file)
         if max(self.tokenizer.get_vocab(with_added_tokens=True).values()) > 0xFFFF or sys.byteorder != "little":
             raise ValueError("ids must fit in 16 bits, and the machine be little-endian")
         self.words = _Words(self.tokenizer.model, cached)
@@ -96,19 +96,30 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One per worker process and file."""
-    return Encoder(path)
+_memo: dict[str, Encoder] = {}
+
+
+def _worker_encoder(shared) -> Encoder:
+    """One per worker process and tokenizer file, known by the file's digest."""
+    digest, file = shared.value
+    if digest not in _memo:
+        _memo.clear()
+        _memo[digest] = Encoder(file)
+    return _memo[digest]
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """(part, doc_id, before, n_tokens, ids): ids as little-endian 16-bit, with the end id; `before` within the partition."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
+    with open(tokenizer_path, "rb") as opened:
+        file = opened.read()
+    # the tokenizer's file, a few MB, goes to the workers: they need not have it at the driver's path
+    shared = spark.sparkContext.broadcast((hashlib.sha256(file).hexdigest(), file))
     end = np.array([end_id], dtype="<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer_path).encode
+        part, before, encode = TaskContext.get().partitionId(), 0, _worker_encoder(shared).encode
         for batch in batches:
             texts = [text or "" for text in batch.column(1).to_pylist()]
             ids = [raw + end for raw in encode(texts)]
