@@ -240,7 +240,8 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", node), "distinct")
     found = components(near_links(distinct, radius, wide_radius, tile), "u", "v")
     rooted = distinct.join(found, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that AQE can split the join of a component that holds very many fingerprints
+    names = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
     named = rooted.join(names, "root").select("fp", "component_id", "root")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id", "root")
 
@@ -334,7 +335,7 @@ def similar_components(docs: DataFrame, limit: int = SETS) -> DataFrame:
     distinct = materialize(rows.groupBy("node", "fp", "n").agg(first), "distinct")
     found = components(confirmed_links(docs, distinct, limit), "u", "v")
     rooted = distinct.join(found, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
+    names = materialize(rooted.groupBy("root").agg(F.min("first.doc_id").alias("component_id")), "names")
     named = rooted.join(names, "root").select("node", "component_id", "root")
     return rows.join(named, "node").select("doc_id", "h", "node", "component_id", "root")
 
