@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,12 +20,9 @@ ARROW_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or our own where it is unset."""
+    """The folder all executors share: `spark.checkpoint.dir`, or one in the warehouse where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="rillworks-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    return path.rstrip("/") if path else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/rillworks-checkpoint"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillworks.llm.common import fold, materialize, small_batches
+from rillworks.llm.common import fold, materialize_at, remove_path, small_batches
 
 FOLDS = 5
 THRESHOLD = 0.3
@@ -183,8 +183,8 @@ class QualityModel:
         return self.network.score(np.array([pool(text, self.table) for text in texts]).reshape(len(texts), -1))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_fold: int, max_rows: int) -> DataFrame:
-    """(doc_id, text, y) of at most `max_rows` labelled documents outside the held-out fold, written once."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_fold: int, max_rows: int) -> tuple[DataFrame, str]:
+    """(doc_id, text, y) of at most `max_rows` labelled documents outside the held-out fold, written once, and its path."""
     ids = (
         labels.where(F.col(label).isNotNull() & (fold(F.col("doc_id"), folds) != held_fold))
         .groupBy("doc_id")
@@ -194,14 +194,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     )
     # max_rows ids at most, so the side has a fixed size, and so has the sample: a row per id
     found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    return materialize(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")), "sample")
+    return materialize_at(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")), "sample")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held_fold: int = 0, max_rows: int = MAX_ROWS) -> QualityModel:
     """Fit on the labelled sample; both passes over it run on the executors."""
     spark = docs.sparkSession
     small_batches(spark)
-    sample = labelled_sample(docs, labels, label, folds, held_fold, max_rows)
+    sample, path = labelled_sample(docs, labels, label, folds, held_fold, max_rows)
     index = index_vectors()
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,6 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     rows = sample.select("doc_id", "text", "y").mapInArrow(pooled, "doc_id long, y double, x array<double>").collect()  # max_rows rows
+    remove_path(spark, path)
     rows.sort(key=lambda row: (row.doc_id, row.y, row.x))
     x = np.array([row.x for row in rows]).reshape(len(rows), table.shape[1])
     y = np.array([row.y for row in rows])

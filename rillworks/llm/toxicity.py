@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillworks.llm.common import materialize, small_batches
+from rillworks.llm.common import materialize_at, remove_path, small_batches
 from rillworks.llm.quality import labelled_sample
 
 FOLDS = 4
@@ -208,10 +208,11 @@ class ToxicityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held_fold: int = HELD_FOLD, max_rows: int = MAX_ROWS) -> ToxicityModel:
     small_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, label, folds, held_fold, max_rows)
+    sample, path = labelled_sample(docs, labels, label, folds, held_fold, max_rows)
     texts = sample.dropDuplicates(["text"])  # a text copied often says no more than once
     n, n_toxic = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     if not n:
+        remove_path(docs.sparkSession, path)
         hits = np.zeros(len(Voters().names))
         hits[len(Voters().entries)] = math.log(0.9 / 0.1) - math.log(0.05 / 0.95)
         return ToxicityModel(Voters(), {}, hits, math.log(0.05 / 0.95))
@@ -227,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = F
         .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("bad"))
         .where("n >= 5")
     )
-    counted = materialize(counted, "entries")
+    counted, counted_path = materialize_at(counted, "entries")
     # of the sample's entries the MAX_WORDS most frequent words, and those most in toxic text
     frequent = counted.where(F.col("entry").endswith(END)).orderBy(F.desc("n"), "entry").limit(MAX_WORDS).collect()
     marked = counted.where("bad >= 5 and bad >= 0.7 * n").orderBy(F.desc("bad"), "entry").limit(100 * MAX_LEARNT).collect()
@@ -244,6 +245,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = F
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), votes, has], ["doc_id", "y", "votes", "has"])
 
     rows = sample.select("doc_id", "text", "y").mapInArrow(look, "doc_id long, y double, votes array<byte>, has array<int>").collect()  # max_rows rows
+    remove_path(docs.sparkSession, path)
+    remove_path(docs.sparkSession, counted_path)
     rows.sort(key=lambda row: (row.doc_id, row.y, row.votes, row.has))
     votes, y = np.array([row.votes for row in rows]), np.array([row.y for row in rows])
     start = np.where(votes[:, len(voters.entries)] > 0, 0.9, 0.05)

@@ -211,7 +211,7 @@ def test_the_sample_is_bounded_by_rows(spark):
     docs, labels, _ = labelled(spark, 60)
     many = docs.union(docs_of(spark, [f"copy {i}" for i in range(500)] + [None] * 3, [1] * 503))
     for max_rows in (10, 1000):
-        sample = quality.labelled_sample(many, labels.union(labels), "quality", 5, 0, max_rows).collect()
+        sample = quality.labelled_sample(many, labels.union(labels), "quality", 5, 0, max_rows)[0].collect()
         assert len(sample) == min(max_rows, sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(60)))
         assert len({r.doc_id for r in sample}) == len(sample)
 
@@ -540,6 +540,37 @@ def test_pipeline(spark, small):
     assert sorted(ran[ran.length == ran.doc_tokens][key].itertuples(index=False))[:1]
 
 
+def test_pipeline_of_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing columns, and an empty table."""
+    rng = random.Random(6)
+    fresh = lambda n: " ".join(rng.choice(("ka", "lo", "mi", "ren", "tos", "vu")) * rng.randrange(1, 3) for _ in range(n))
+    texts = [None, "", " \n ", "x" * 60_000, fresh(30_000), fresh(80), fresh(80), f"mail a.b@example.org {fresh(60)}", "token=" + "aZ3q9" * 2000]
+    rows = [*enumerate(texts), (5, texts[5]), (5, fresh(70)), (None, fresh(70)), (None, None), (None, texts[6])]
+    docs = docs_of(spark, [t for _, t in rows], [i for i, _ in rows])
+    for name in ("row", "score", "h", "node", "ids", "new_text", "drops", "__k2", "fp"):
+        docs = docs.withColumn(name, F.lit(name))
+    for frame in (docs, docs.where("false")):
+        now = frame
+        for at, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            if at == 0:  # the classifier needs labels; odd rows are held against the other stages whole
+                model = quality.fit(frame, spark.createDataFrame([(5, 1, 0)], LABELS))
+                assert quality.score(now, model).count() == frame.count()
+                continue
+            now = stage(spark, now, "")
+            if at < 4:
+                assert now.columns == docs.columns, name
+                now = spark.createDataFrame(now.collect(), now.schema)
+        pieces = now.collect()
+        assert (len(pieces) > 0) == (frame is docs)
+    kept = {r.doc_id for r in pieces} if pieces else set()
+    assert kept == set()
+    once = [t for t in dict.fromkeys((t or "") for _, t in rows)]
+    deduped = simhash.keep_one(docs).collect()
+    empty = {"", " \n "}
+    assert sorted(t for t in ((r.text or "") for r in deduped) if t not in empty) == sorted(t for t in once if t not in empty)
+    assert sum((r.text or "") in empty for r in deduped) == 1
+
+
 def test_pipeline_keeps_clean_documents(spark, small):
     good = {r[0] for r in duckdb.sql(f"SELECT doc_id FROM '{small}/labels.parquet' WHERE quality = 1").fetchall()}
     kept = {r.doc_id for r in corpus_pipeline.good_quality(spark, spark.read.parquet(f"{small}/documents.parquet"), small).collect()}
