@@ -46,7 +46,7 @@ MOST = 100_000
 #: Words up to this length may go through the relation.
 WORD_CHARS = 48
 #: Words a worker remembers beside the broadcast ones; speed only.
-CACHED_WORDS = 350_000
+CACHED_WORDS = 250_000
 NORMAL, BYTE = 1, 6
 _KEY = 1024
 _NEVER = float("inf")
@@ -242,14 +242,51 @@ def _fold_long(parts: list[str], table: dict[str, tuple[int, float]]) -> list[st
 
 
 class _Words(dict):
-    def __init__(self, known: dict[str, bytes], pieces: Pieces):
-        super().__init__(known)
-        self.known, self.pieces = known, pieces
+    """What stands between two blanks -> its packed ids: a word with its mark left out, or a line break and the unmarked word after it."""
 
-    def __missing__(self, word: str) -> bytes:
+    def __init__(self, known: dict[str, bytes], pieces: Pieces):
+        super().__init__()
+        self.pieces, self.odd = pieces, _Odd(pieces)
+        line_break = self.odd["\n"]
+        # all keys of the relation but runs of marks alone, which no key stands for
+        self.known = {w[1:] if w[0] == MARK else "\n" + w: raw if w[0] == MARK else line_break + raw for w, raw in known.items() if w.lstrip(MARK)}
+        self.update(self.known)
+
+    def __missing__(self, part: str) -> bytes:
         if len(self) > CACHED_WORDS + len(self.known):
             self.clear()
             self.update(self.known)
+        if part[0] == "\n":
+            ids = self.odd["\n"] + (_pack(fold_word(part[1:], self.pieces)) if len(part) > 1 else b"")
+        else:
+            ids = _pack(fold_word(MARK + part, self.pieces))
+        self[part] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        # plain texts: single blanks between words, none at an end or before a line break
+        if MARK not in text and "  " not in text and " \n" not in text and text[0] not in " \n" and text[-1] != " ":
+            return b"".join(map(self.__getitem__, text.replace("\n", " \n").split(" ")))
+        return b"".join(map(self.of_word, _SPLIT.findall(MARK + text.replace(" ", MARK))))
+
+    def of_word(self, word: str) -> bytes:
+        if word[0] == MARK and len(word) > 1 and word[1] != MARK:
+            return self[word[1:]]
+        return self.odd[word]
+
+
+class _Odd(dict):
+    """Words that no part stands for, as they are: several marks, no mark, a line break."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > CACHED_WORDS // 8:
+            self.clear()
         raw = self[word] = _pack(fold_word(word, self.pieces))
         return raw
 
@@ -296,10 +333,9 @@ def encode(docs: DataFrame, model_path: str, most: int = MOST) -> DataFrame:
     shared = spark.sparkContext.broadcast((uuid.uuid4().hex, known, pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = _worker_words(shared).__getitem__
+        one = _worker_words(shared).encode
         for batch in batches:
-            texts = [(text or "") for text in batch.column(1).to_pylist()]
-            raw = [b"".join(map(get, _SPLIT.findall(MARK + text.replace(" ", MARK)))) if text else b"" for text in texts]
+            raw = [one(text or "") for text in batch.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
