@@ -178,7 +178,8 @@ def repeated_keys(docs: DataFrame, min_chars: int, min_docs: int, batches: int,
     found = summed.put(summarize(docs, min_chars, batch).repartition(runs.buckets, *KEYS), parts=("batch",))
     for at in range(batches):
         runs.add(found.where(F.col("batch") == at).drop("batch"))
-        runs.compact()
+        if at < batches - 1:  # no batch meets the runs after the last, and totals merges what is left
+            runs.compact()
     # written, so that the joins below read plain exchanges on both sides, of which AQE can split a hot line's
     heavy = materialize(runs.totals().where(F.col("n_docs") >= min_docs).select(*KEYS, "last_doc"), "heavy-lines")
     runs.drop()
