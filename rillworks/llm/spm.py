@@ -26,10 +26,12 @@ Defined cases
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import re
 import uuid
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -45,8 +47,9 @@ MARK = "▁"
 MOST = 100_000
 #: Words up to this length may go through the relation.
 WORD_CHARS = 48
-#: Words a worker remembers beside the broadcast ones; speed only.
-CACHED_WORDS = 250_000
+#: Words a worker remembers beside the broadcast ones, characters and parts of texts it looks up at once, words it folds at once; speed only.
+CACHED_WORDS = 200_000
+GROUP_CHARS, GROUP_PARTS, GROUP_WORDS = 1 << 20, 1 << 17, 2048
 NORMAL, BYTE = 1, 6
 _KEY = 1024
 _NEVER = float("inf")
@@ -85,6 +88,11 @@ class Pieces:
         """Piece -> its score's opposite: the least merges first."""
         return {piece: -score for piece, _, score in self.rows}
 
+    @cached_property
+    def merges(self) -> Merges:
+        """The pairs of pieces that make a piece."""
+        return Merges(self.rows, self.first_byte)
+
     @cached_property
     def longest(self) -> int:
         return max(len(piece) for piece, _, _ in self.rows)
@@ -241,6 +249,119 @@ def _fold_long(parts: list[str], table: dict[str, tuple[int, float]]) -> list[st
     return [part for part in parts if part]
 
 
+class Merges:
+    """Folds many words at once: pieces are numbered by rank, and a hashed table tells the piece that two pieces make."""
+
+    def __init__(self, rows: tuple[tuple[str, int, float], ...], first_byte: int):
+        self.first_byte = first_byte
+        ranked = sorted(rows, key=lambda row: -row[2])
+        number = {piece: i for i, (piece, _, _) in enumerate(ranked)}
+        self.none = len(ranked)  # the number of what is no piece
+        self.ids = np.array([*(i for _, i, _ in ranked), 0], np.int32)
+        chars = {ord(piece): i for piece, i in number.items() if len(piece) == 1}
+        self.of_char = np.full(max(chars, default=0) + 2, self.none, np.int64)  # the last place: any higher character
+        self.of_char[list(chars)] = list(chars.values())
+        pairs = [
+            (number[piece[:k]] * (self.none + 1) + number[piece[k:]], i)
+            for piece, i in number.items()
+            for k in range(1, len(piece))
+            if piece[:k] in number and piece[k:] in number
+        ]
+        scores = Counter(score for _, _, score in rows)
+        tied = [re.escape(piece) for piece, _, score in rows if scores[score] > 1 and len(piece) > 1]
+        self.tied = re.compile("|".join(tied)) if tied else None  # pieces whose number is no rank
+        keys, made = np.array(pairs, np.int64).reshape(-1, 2).T
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        self.keys = np.full(1 << (64 - int(self.shift)), -1, np.int64)
+        self.made = np.full(len(self.keys), self.none, np.int32)
+        at, waiting = self._slot(keys), np.arange(len(keys))
+        while len(waiting):  # the first to claim an empty slot has it, the rest try the next slot
+            _, first = np.unique(at[waiting], return_index=True)
+            first = first[self.keys[at[waiting[first]]] < 0]
+            won = waiting[first]
+            self.keys[at[won]], self.made[at[won]] = keys[won], made[won]
+            waiting = np.delete(waiting, first)
+            at[waiting] = (at[waiting] + 1) % len(self.keys)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def union(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that each two pieces make, or `none`."""
+        keys = left * (self.none + 1) + right
+        at = self._slot(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.made[at], np.int32(self.none))
+        more = np.flatnonzero((there != keys) & (there >= 0))
+        while len(more):
+            at[more] = (at[more] + 1) % len(self.keys)
+            there = self.keys[at[more]]
+            same = there == keys[more]
+            out[more[same]] = self.made[at[more[same]]]
+            more = more[~same & (there >= 0)]
+        return out
+
+    def fold(self, words: list[str]) -> list[bytes | None]:
+        """The packed ids of each word by the merge fold; None for a word that holds a piece of tied score."""
+        lengths, text = np.fromiter(map(len, words), np.int64, len(words)), "".join(words)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        stride = int(lengths.max()) + 2  # a place without a piece on either side
+        spots = np.arange(stride)
+        segment = (spots > 0) & (spots <= lengths[:, None])
+        piece = np.full(segment.shape, self.none, np.int64)
+        piece[segment] = self.of_char[np.minimum(codes, len(self.of_char) - 1)]
+        strange = ((piece == self.none) & segment).any(axis=1).tolist()
+        ranked = np.ones(len(words), bool)
+        if self.tied and self.tied.search(text):
+            ranked[:] = [not self.tied.search(word) for word in words]
+        unions = np.full(segment.shape, self.none, np.int32)
+        pairs = segment[:, :-1] & segment[:, 1:]
+        unions[:, :-1][pairs] = self.union(piece[:, :-1][pairs], piece[:, 1:][pairs])
+        rows, by_row = np.flatnonzero(ranked), unions
+        piece, unions, segment = piece.reshape(-1), unions.reshape(-1), segment.reshape(-1)
+        after, before = np.arange(1, len(piece) + 1), np.arange(-1, len(piece) - 1)
+        while len(rows):
+            left = by_row[rows].argmin(axis=1) + rows * stride  # the leftmost of the best
+            best = unions[left]
+            found = best < self.none
+            rows, left, best = rows[found], left[found], best[found]
+            gone = after[left]
+            right, ahead = after[gone], before[left]
+            piece[left], segment[gone], unions[gone] = best, False, self.none
+            after[left], before[right] = right, left
+            unions[left] = self.union(best.astype(np.int64), piece[right])
+            unions[ahead] = self.union(piece[ahead], best.astype(np.int64))
+        segment, piece = segment.reshape(-1, stride), piece.reshape(-1, stride)
+        ends = np.cumsum(segment.sum(axis=1)).tolist()
+        raw = self.ids[piece[segment]].tobytes()
+        out: list[bytes | None] = []
+        for row, (word, start, end) in enumerate(zip(words, [0, *ends], ends)):
+            if not ranked[row]:
+                out.append(None)
+            elif strange[row]:
+                at = np.flatnonzero(segment[row])
+                ids = zip(at.tolist(), piece[row, at].tolist())
+                out.append(b"".join(self.packed_bytes(word[i - 1]) if p == self.none else self.ids[p].tobytes() for i, p in ids))
+            else:
+                out.append(raw[4 * start : 4 * end])
+        return out
+
+    def packed_bytes(self, char: str) -> bytes:
+        return _pack([self.first_byte + b for b in char.encode("utf-8", "replace")])
+
+
+def fold_words(words: list[str], pieces: Pieces) -> Iterator[tuple[str, bytes]]:
+    """(word, packed ids) as `fold_word` finds them, for words of at least a character."""
+    words = sorted(words, key=len)
+    many = bisect.bisect_right(words, WORD_CHARS, key=len)
+    for i in range(0, many, GROUP_WORDS):
+        group = words[i : min(many, i + GROUP_WORDS)]
+        for word, ids in zip(group, pieces.merges.fold(group)):
+            yield word, _pack(fold_word(word, pieces)) if ids is None else ids
+    for word in words[many:]:
+        yield word, _pack(fold_word(word, pieces))
+
+
 class _Words(dict):
     """What stands between two blanks -> its packed ids: a word with its mark left out, or a line break and the unmarked word after it."""
 
@@ -253,23 +374,59 @@ class _Words(dict):
         self.update(self.known)
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) > CACHED_WORDS + len(self.known):
+        self.learn({part})
+        return self[part]
+
+    def learn(self, parts: set[str]) -> None:
+        """Fold those of the parts that aren't known yet."""
+        new = parts.difference(self)
+        if len(self) + len(new) > CACHED_WORDS + len(self.known):
             self.clear()
             self.update(self.known)
-        if part[0] == "\n":
-            ids = self.odd["\n"] + (_pack(fold_word(part[1:], self.pieces)) if len(part) > 1 else b"")
-        else:
-            ids = _pack(fold_word(MARK + part, self.pieces))
-        self[part] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        # plain texts: single blanks between words, none at an end or before a line break
-        if MARK not in text and "  " not in text and " \n" not in text and text[0] not in " \n" and text[-1] != " ":
-            return b"".join(map(self.__getitem__, text.replace("\n", " \n").split(" ")))
-        return b"".join(map(self.of_word, _SPLIT.findall(MARK + text.replace(" ", MARK))))
+            new = parts.difference(self)
+        unmarked = {part[1:]: part for part in new if part[0] == "\n"}
+        line_break = self.odd["\n"]
+        if "" in unmarked:
+            self[unmarked.pop("")] = line_break
+        self.update((unmarked[word], line_break + ids) for word, ids in fold_words(list(unmarked), self.pieces))
+        self.update((word[1:], ids) for word, ids in fold_words([MARK + part for part in new if part[0] != "\n"], self.pieces))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text; the new words of some texts are folded together."""
+        out: list[bytes] = []
+        held: list[list[str]] = []
+        chars = 0
+
+        def settle() -> None:
+            self.learn(set().union(*held))
+            out.extend(b"".join(map(self.__getitem__, parts)) for parts in held)
+            held.clear()
+
+        for text in texts:
+            # plain texts: single blanks between words, none at an end or before a line break
+            plain = text and MARK not in text and "  " not in text and " \n" not in text and text[0] not in " \n" and text[-1] != " "
+            if held and (not plain or chars + len(text) > GROUP_CHARS):
+                settle()
+                chars = 0
+            if not plain:
+                out.append(b"".join(map(self.of_word, _SPLIT.findall(MARK + text.replace(" ", MARK)))) if text else b"")
+                continue
+            parts = text.replace("\n", " \n").split(" ")
+            if len(parts) > GROUP_PARTS:
+                out.append(b"".join(self._in_groups(parts)))
+            else:
+                held.append(parts)
+                chars += len(text)
+        if held:
+            settle()
+        return out
+
+    def _in_groups(self, parts: list[str]) -> Iterator[bytes]:
+        """The ids of a very long text, whose words may be more than should be remembered at once."""
+        for i in range(0, len(parts), GROUP_PARTS):
+            some = parts[i : i + GROUP_PARTS]
+            self.learn(set(some))
+            yield b"".join(map(self.__getitem__, some))
 
     def of_word(self, word: str) -> bytes:
         if word[0] == MARK and len(word) > 1 and word[1] != MARK:
@@ -333,9 +490,9 @@ def encode(docs: DataFrame, model_path: str, most: int = MOST) -> DataFrame:
     shared = spark.sparkContext.broadcast((uuid.uuid4().hex, known, pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = _worker_words(shared).encode
+        words = _worker_words(shared)
         for batch in batches:
-            raw = [one(text or "") for text in batch.column(1).to_pylist()]
+            raw = words.encode([text or "" for text in batch.column(1).to_pylist()])
             offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
@@ -360,16 +517,18 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     spark = encoded.sparkSession
     small_batches(spark)
     pieces = Pieces.load(model_path)
-    parts = {i: text.replace(MARK, " ").encode() for i, text in enumerate(pieces.texts)}
-    parts |= {pieces.first_byte + b: bytes([b]) for b in range(256)}
+    parts = [text.replace(MARK, " ").encode() for text in pieces.texts]
+    parts[pieces.first_byte : pieces.first_byte + 256] = [bytes([b]) for b in range(256)]
     shared = spark.sparkContext.broadcast(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.__getitem__
+        parts = pa.array(shared.value, pa.large_binary())
         for batch in batches:
             column = batch.column(1)
-            flat, edges = column.values.to_numpy(zero_copy_only=False).tolist(), column.offsets.tolist()
-            texts = [b"".join(map(get, flat[i:j])).decode("utf-8", "replace")[1:] for i, j in zip(edges, edges[1:])]
+            said = parts.take(column.values)
+            ends, raw = np.frombuffer(said.buffers()[1], np.int64, len(said) + 1 + said.offset)[said.offset :], memoryview(said.buffers()[2] or b"")
+            edges = ends[column.offsets.to_numpy()].tolist()
+            texts = [str(raw[i:j], "utf-8", "replace")[1:] for i, j in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")

@@ -85,3 +85,24 @@ def test_viterbi_fold_finds_the_best_path(spark):
     for w in plain:
         assert "".join(pieces.texts[i] for i in got[w]) == w
         assert sum(score[i] for i in got[w]) == pytest.approx(sum(score[i] for i in unigram.encode(w)))
+
+
+def test_many_words_fold_as_one_does(library):
+    """Unknown characters, runs of marks (pieces of tied score), long words, and one character alone."""
+    pieces = spm.Pieces.load(PATH)
+    rng = random.Random(9)
+    alphabet = "ethanisor" * 3 + "Ééß日🙂\x00%#9.▁" + "�"
+    many = {"".join(rng.choices(alphabet, k=rng.randrange(1, 60))) for _ in range(3000)} | set(words()) | {"e", "\x00", "▁", "▁▁▁", "x" * 500}
+    got = dict(spm.fold_words(list(many), pieces))
+    assert got == {w: spm._pack(spm.fold_word(w, pieces)) for w in many}
+    assert dict(spm.fold_words([], pieces)) == {}
+
+
+def test_a_small_memory_of_words_changes_nothing(monkeypatch, library):
+    texts = [" ".join(words(80)).replace("▁", "") + "\nx\n\ny", "plain words\nof a text", "", "  two  blanks ", "\n", " ".join(f"w{i}" for i in range(500))]
+    monkeypatch.setattr(spm, "CACHED_WORDS", 20)
+    monkeypatch.setattr(spm, "GROUP_PARTS", 7)
+    memory = spm._Words({}, spm.Pieces.load(PATH))
+    for group_chars in (1, 10_000):
+        monkeypatch.setattr(spm, "GROUP_CHARS", group_chars)
+        assert memory.encode(texts) == [spm._pack(library.encode(text)) for text in texts]
