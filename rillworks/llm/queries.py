@@ -56,8 +56,7 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document, and the digest of what they decode to."""
-    path = tokenizer_path("piece_bpe_32k.model")
-    both = spm.decode(spm.encode(table(spark, sf_dir, "documents"), path), path)
+    both = spm.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), decoded=True)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 

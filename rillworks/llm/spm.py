@@ -478,8 +478,8 @@ def frequent_words(docs: DataFrame, pieces: Pieces, most: int = MOST) -> DataFra
     return materialize(encode_words(top, pieces, "merge"), "word-ids")
 
 
-def encode(docs: DataFrame, model_path: str, most: int = MOST) -> DataFrame:
-    """(doc_id, ids): each text's ids."""
+def encode(docs: DataFrame, model_path: str, most: int = MOST, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids): each text's ids; with `decoded` also the text that the ids decode to, by the same worker."""
     spark = docs.sparkSession
     small_batches(spark)
     pieces = Pieces.load(model_path)
@@ -491,13 +491,17 @@ def encode(docs: DataFrame, model_path: str, most: int = MOST) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _worker_words(shared)
+        meant = _meanings(words.pieces) if decoded else None
         for batch in batches:
             raw = words.encode([text or "" for text in batch.column(1).to_pylist()])
             offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+            out = {"doc_id": batch.column(0), "ids": ids}
+            if decoded:
+                out["text"] = _said(ids, meant)
+            yield pa.RecordBatch.from_pydict(out)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>" + (", text string" if decoded else ""))
 
 
 _memo: dict[str, _Words] = {}
@@ -512,23 +516,30 @@ def _worker_words(shared) -> _Words:
     return _memo[key]
 
 
+def _meanings(pieces: Pieces) -> pa.Array:
+    """The bytes that each id stands for."""
+    parts = [text.replace(MARK, " ").encode() for text in pieces.texts]
+    parts[pieces.first_byte : pieces.first_byte + 256] = [bytes([b]) for b in range(256)]
+    return pa.array(parts, pa.large_binary())
+
+
+def _said(ids: pa.ListArray, meant: pa.Array) -> pa.Array:
+    """The texts of lists of ids."""
+    said = meant.take(ids.values)
+    ends, raw = np.frombuffer(said.buffers()[1], np.int64, said.offset + len(said) + 1)[said.offset :], memoryview(said.buffers()[2] or b"")
+    edges = ends[ids.offsets.to_numpy()].tolist()
+    return pa.array([str(raw[i:j], "utf-8", "replace")[1:] for i, j in zip(edges, edges[1:])], pa.string())
+
+
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, ids, text) of (doc_id, ids): the texts that were encoded."""
     spark = encoded.sparkSession
     small_batches(spark)
-    pieces = Pieces.load(model_path)
-    parts = [text.replace(MARK, " ").encode() for text in pieces.texts]
-    parts[pieces.first_byte : pieces.first_byte + 256] = [bytes([b]) for b in range(256)]
-    shared = spark.sparkContext.broadcast(parts)
+    shared = spark.sparkContext.broadcast(Pieces.load(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = pa.array(shared.value, pa.large_binary())
+        meant = _meanings(shared.value)
         for batch in batches:
-            column = batch.column(1)
-            said = parts.take(column.values)
-            ends, raw = np.frombuffer(said.buffers()[1], np.int64, len(said) + 1 + said.offset)[said.offset :], memoryview(said.buffers()[2] or b"")
-            edges = ends[column.offsets.to_numpy()].tolist()
-            texts = [str(raw[i:j], "utf-8", "replace")[1:] for i, j in zip(edges, edges[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _said(batch.column(1), meant)], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")

@@ -27,6 +27,8 @@ def test_documents_encode_as_the_library_does(spark, small, library):
         coded = spm.encode(docs.withColumnRenamed("lang", "ids"), PATH, most)
         decoded = spm.decode(coded, PATH).collect()
         assert len(decoded) == len(texts) + 3
+        at_once = spm.encode(docs, PATH, most, decoded=True).collect()
+        assert sorted(at_once, key=lambda r: r.doc_id) == sorted(decoded, key=lambda r: r.doc_id)
         for r in decoded:
             text = (texts + texts[:3])[r.doc_id] or ""
             assert r.ids == library.encode(text), text[:50]
