@@ -167,9 +167,9 @@ def filter_rows(spark, d):
     return at(spark, d, "lineitem").filter((F.col("l_quantity") > 30) & (F.col("l_returnflag") == "R")).df
 
 
-@query("SELECT o_orderkey FROM orders WHERE nullif(o_custkey % 3, 0) > 1")
+@query("SELECT o_orderkey FROM orders WHERE nullif(o_orderstatus, 'P') <> 'F'")
 def filter_null_mask(spark, d):
-    return at(spark, d, "orders").filter(F.nullif(F.col("o_custkey") % 3, F.lit(0)) > 1).select("o_orderkey").df
+    return at(spark, d, "orders").filter(F.nullif(F.col("o_orderstatus"), F.lit("P")) != "F").select("o_orderkey").df
 
 
 @query("SELECT p_size, p_name FROM part")
@@ -217,10 +217,12 @@ def explode_embedding(spark, d):
     return at(spark, d, "embeddings").select("vec_id", "embedding").explode("embedding").df
 
 
-@query("SELECT vec_id, unnest(list_filter(embedding, lambda x: x > 0.25)) AS embedding FROM embeddings WHERE vec_id % 3 > 0")
+@query("SELECT vec_id, unnest(list_filter(embedding, lambda x: x > 0.3125)) AS embedding FROM embeddings")
 def explode_drop_empty(spark, d):
-    some = F.when(F.col("vec_id") % 3 > 0, F.filter("embedding", lambda x: x > 0.25))
-    return at(spark, d, "embeddings").select("vec_id", "embedding").with_column("embedding", some).explode("embedding").df
+    """Lists that are empty, and with small labels null, give no row."""
+    large = F.filter("embedding", lambda x: x > 0.3125)
+    some = F.when((F.size(large) > 0) | (F.col("label") > 4), large)
+    return at(spark, d, "embeddings").with_column("embedding", some).select("vec_id", "embedding").explode("embedding").df
 
 
 @query("SELECT l_orderkey, unnest(range(l_linenumber)) AS i FROM lineitem")
