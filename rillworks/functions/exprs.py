@@ -56,9 +56,20 @@ def channel_means(flat: Column, pixels: int, channels: int) -> Column:
 
 
 def slice_means(vector: Column, width: int, parts: int) -> Column:
-    """The mean of each consecutive `width` elements."""
-    mean = lambda i: F.aggregate(F.slice(vector, i * width + 1, width), F.lit(0.0), lambda s, x: s + x.cast("double")) / width
-    return F.array(*[mean(i) for i in range(parts)])
+    """The mean of what isn't null in each consecutive `width` elements; null where there is none."""
+    held = F.array(*[F.array_compact(F.slice(vector, i * width + 1, width)) for i in range(parts)])
+    total = lambda part: F.aggregate(part, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return F.transform(held, lambda part: F.when(F.size(part) > 0, total(part) / F.size(part)))
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """A double at `digits` places as DuckDB's ROUND makes it: scaled, to the nearest whole number with ties away from zero, scaled back.
+
+    Spark's own goes by the shortest decimal of the double, and loses the sign of a negative that becomes zero.
+    """
+    scaled = x * F.lit(10.0**digits)
+    whole = F.when(F.abs(scaled - F.rint(scaled)) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(F.rint(scaled))
+    return F.when(F.abs(scaled) == float("inf"), x).otherwise(whole / F.lit(10.0**digits))
 
 
 def row_hash(columns: Iterable[str]) -> Column:

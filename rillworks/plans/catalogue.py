@@ -415,7 +415,7 @@ def forecast_rmse(spark, d):
     " lambda x: CAST(x AS DOUBLE))), 6)) AS pooled FROM embeddings"
 )
 def image_embed(spark, d):
-    pooled = F.transform(exprs.slice_means(F.col("embedding"), 8, 8), lambda x: F.round(x, 6))
+    pooled = F.transform(exprs.slice_means(F.col("embedding"), 8, 8), lambda x: exprs.rounded(x, 6))
     return at(spark, d, "embeddings").map(lambda df: df.select("vec_id", pooled.alias("pooled"))).df
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tests.conftest import multiset
@@ -47,6 +50,33 @@ def test_query_agrees_with_sql(spark, small, duck, name):
         assert got.num_rows > 0
 
 
+def test_image_embed_on_odd_vectors(spark, tmp_path):
+    """To the bit: signs of zero, ties and almost ties of the rounding, nulls, short vectors, what is not finite."""
+    nan, inf = float("nan"), float("inf")
+
+    def eight(mean):
+        """Floats whose exact mean is a double that no float holds."""
+        parts = []
+        for _ in range(8):
+            parts.append(float(np.float32(8 * mean - sum(parts))))
+        assert sum(parts) == 8 * mean
+        return parts
+
+    ties = [k / 128 for k in (1, -1, 3, -3, 5, -5, 127, -129) for _ in range(8)]
+    almost = [x for mean in (2.4999999999999998e-06, 0.0001245) for sign in (1, -1) for x in eight(sign * mean)] * 2
+    rows = [
+        [-1e-7] * 64, [-0.0] * 64, [1e-7] * 64, ties, almost,
+        [None] * 8 + [1.0, None, 2.0] + [3.0] * 53, [float(i) for i in range(12)], [0.1] * 80, [], None,
+        [nan] + [1.0] * 63, [inf, -inf] + [1.0] * 6 + [inf] * 8 + [-inf] * 48, [3e38] * 64,
+    ]
+    path = tmp_path / "embeddings.parquet"
+    pq.write_table(pa.table({"vec_id": range(len(rows)), "embedding": pa.array(rows, pa.list_(pa.float32())), "label": [0] * len(rows)}), path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}'")
+    got = {r.vec_id: repr(list(r.pooled)) for r in QUERIES["image_embed"](spark, str(tmp_path)).collect()}
+    assert got == {k: repr(pooled) for k, pooled in con.sql(ORACLES["image_embed"]).fetchall()}
+
+
 def test_entry_points(spark, small):
     assert entry_points.entry(spark).limit(1).count() == 1
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
